@@ -1,9 +1,10 @@
 """Queries of the operators by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import url_filter
+from . import toxicity, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {
     "op6_url_filter": url_filter.ORACLE,
