@@ -1,10 +1,11 @@
 """Queries of the operators by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import toxicity, url_filter
+from . import bpe, toxicity, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
     "op6_url_filter": url_filter.ORACLE,
