@@ -1,12 +1,14 @@
 """Queries of the operators by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, toxicity, url_filter
+from . import bpe, line_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
+    "op5_line_dedup": line_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
 }
