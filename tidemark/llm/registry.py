@@ -1,11 +1,12 @@
 """Queries of the operators by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, jaccard_join, line_dedup, quality, toxicity, url_filter
+from . import bpe, jaccard_join, licenses, line_dedup, quality, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
