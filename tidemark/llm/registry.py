@@ -1,9 +1,10 @@
 """Queries of the operators by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, jaccard_join, licenses, line_dedup, quality, toxicity, url_filter
+from . import bpe, jaccard_join, language_model, licenses, line_dedup, quality, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_lm_scoring": language_model.op3_lm_scoring,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_license_scan": licenses.op7_license_scan,
