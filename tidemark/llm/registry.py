@@ -1,11 +1,12 @@
 """Queries of the operators by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import bpe, html_text, jaccard_join, language_model, licenses, line_dedup, quality, toxicity, url_filter
+from . import bpe, decontaminate, html_text, jaccard_join, language_model, licenses, line_dedup, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_lm_scoring": language_model.op3_lm_scoring,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_license_scan": licenses.op7_license_scan,
