@@ -296,16 +296,26 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) ->
     return texts, components(links.union(found)).withColumnRenamed("node", "sig")
 
 
-def join_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row."""
-    texts, parts = linked(docs, n, threshold)
-    # one row for each signature, so that no group of equal texts is gathered anywhere
+def _named(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(sig, component_id) of every signature; one row for each, so that no group of equal texts is gathered anywhere."""
     least = texts.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = written(least.join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-names")
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(roots, "component").select("sig", "component_id")
+    return named.join(roots, "component").select("sig", "component_id")
+
+
+def join_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row."""
+    texts, parts = linked(docs, n, threshold)
+    ids = _named(texts, parts)
     return texts.join(ids, (texts["sig"] == ids["sig"]) & (texts["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows whose doc_id is the smallest of its component, and those with an empty set or a null doc_id; columns as they are."""
+    gone = join_components(docs, n, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti").select(*docs.columns)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(read(spark, sf_dir, "documents"), 4, Fraction(85, 100))
