@@ -1,7 +1,59 @@
-"""Pipeline over documents."""
-STAGES = []
+"""Pipeline over documents: toxicity, line dedup, near duplicates, benchmark decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All but the
+last return the columns of documents. A text from which line dedup cuts every line stays as an empty text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
+from tidemark.llm.common import read, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5, by a classifier trained on the labelled rows among them."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def cut_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that three or more of them share, which stay in the largest doc_id alone; n_chars follows."""
+    cut = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("_lines.n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles at a similarity of 0.8 or more join: the smallest doc_id."""
+    return jaccard_join.keep_representatives(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of ids, and digests of the ids and of the text that decoding them gives."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_shared_lines),
+    ("ngram_jaccard_join", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("bpe", encode_and_decode),
+]
+#: SQL expresses neither the trained classifier nor BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
