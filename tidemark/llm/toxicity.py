@@ -75,22 +75,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(f), pa.array(counts[0][f]), pa.array(counts[1][f])], names=["f", "n0", "n1"])
 
 
-def _fit(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float = 3e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression over rows of feature indices, whose values are r; Adagrad on the mean loss over both classes alike."""
-    idx = np.concatenate(x) if x else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    val = r[idx]
+def _fit(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float = 3e-3, rounds: int = 60, block: int = 1_000_000) -> tuple[np.ndarray, float]:
+    """Logistic regression over rows of feature indices, whose values are r; Adagrad on the mean loss over both classes alike.
+
+    The gradient is summed over blocks of about `block` entries, so that little more than the indices is in memory.
+    """
+    cuts, held = [0], 0
+    for i, v in enumerate(x):
+        held += len(v)
+        if held >= block or i + 1 == len(x):
+            cuts.append(i + 1)
+            held = 0
     w, b = np.zeros(len(r)), 0.0
     gw, gb = np.full(len(r), 1e-8), 1e-8
     each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(rounds):
-        z = np.bincount(row, w[idx] * val, len(x)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * each
-        g = np.bincount(idx, e[row] * val, len(r)) + l2 * w
+        g, shift, wr = l2 * w, 0.0, w * r
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            idx = np.concatenate(x[i:j])
+            row = np.repeat(np.arange(j - i, dtype=np.int32), [len(v) for v in x[i:j]])
+            z = np.bincount(row, wr[idx], j - i) + b
+            e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[i:j]) * each[i:j]
+            g += np.bincount(idx, e[row], len(r)) * r
+            shift += e.sum()
         gw += g * g
-        gb += e.sum() ** 2
+        gb += shift**2
         w -= 0.5 * g / np.sqrt(gw)
-        b -= 0.5 * e.sum() / np.sqrt(gb)
+        b -= 0.5 * shift / np.sqrt(gb)
     return w * r, b
 
 
