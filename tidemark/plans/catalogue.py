@@ -282,7 +282,7 @@ add("load_generator", lambda s, d: rounded(ndjson.generated(s)), "SELECT 'weathe
 def _streamed(shape: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{sf_dir}/events.parquet"
-        raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, as a stream's plain path must be a folder
         source = points.events(spark, sf_dir)
         source.frame = raw
         name = f"stream_{uuid.uuid4().hex}"
@@ -299,10 +299,10 @@ add("stream_sliding", _streamed(lambda p: ingest.windowed(p, "2 hours", "1 hour"
 add(
     "stream_sessions",
     _streamed(lambda p: ingest.sessions(p, "10 minutes")),
-    E + f', g AS (SELECT *, CASE WHEN time - lag(time) OVER w < 600 THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY series ORDER BY time, seq)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY series ORDER BY time, seq) AS id FROM g) SELECT series, min(time) AS start, max(time) + 600 AS "end", {SUMMARY} FROM s GROUP BY series, id',
+    E + f', g AS (SELECT *, CASE WHEN time - lag(time) OVER w <= 600 THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY series ORDER BY time, seq)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY series ORDER BY time, seq) AS id FROM g) SELECT series, min(time) AS start, max(time) + 600 AS "end", {SUMMARY} FROM s GROUP BY series, id',
 )
-add("catalog_types", lambda s, d: catalog.frames(s)["pg_type"].select("oid", "typname", "typlen", "typelem", "typarray"), None)
-add("catalog_attributes", lambda s, d: catalog.frames(s)["pg_attribute"].select("attname", "atttypid", "attnum"), None)
+add("catalog_types", lambda s, d: catalog.frames(s)["pg_type"].groupBy("typcategory").agg(F.count(F.lit(1)).alias("n"), F.sum("oid").alias("ids")), "SELECT * FROM (VALUES ('A', 14, 19734), ('B', 1, 16), ('D', 4, 4463), ('N', 6, 3165), ('S', 1, 25), ('U', 2, 6752)) AS t(typcategory, n, ids)")
+add("catalog_attributes", lambda s, d: catalog.frames(s)["pg_attribute"].select("attname", "atttypid", "attnum"), "SELECT * FROM (VALUES ('oid', 23, 1), ('typname', 25, 2), ('typlen', 21, 3), ('typbyval', 16, 4), ('typtype', 25, 5), ('typcategory', 25, 6), ('typdelim', 25, 7), ('typelem', 23, 8), ('typarray', 23, 9), ('typbasetype', 23, 10), ('typcollation', 23, 11)) AS t(attname, atttypid, attnum)")
 
 
 def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def compact_json(c: Column) -> Column:
 
 
 def normalise(lines: DataFrame) -> DataFrame:
-    """Points from parsed lines; seq orders the lines of one read."""
+    """Points from parsed lines; seq orders the lines of one read (in a stream it is 0, and the batches' writer sets it)."""
     good = lines.where(F.col("_corrupt_record").isNull() & F.col("series").isNotNull() & F.expr("try_cast(ts as bigint)").isNotNull())
     fields = F.map_values(F.from_json("fields", "map<string,string>"))
     first = F.get(F.filter(F.transform(fields, lambda x: x.try_cast("double")), lambda x: x.isNotNull()), 0)
@@ -35,7 +35,7 @@ def normalise(lines: DataFrame) -> DataFrame:
         F.coalesce(F.from_json("_tags", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("tags"),
         "time",
         "value",
-        F.monotonically_increasing_id().alias("seq"),
+        (F.lit(0).cast("bigint") if lines.isStreaming else F.monotonically_increasing_id()).alias("seq"),
     ).select(*COLUMNS)
 
 

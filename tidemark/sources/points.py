@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ class TableSource(PointSource):
 
     def scan(self, bounds: Bounds = Bounds(), series: str | None = None, series_number: int | None = None) -> DataFrame:
         df = self.frame
-        own = dict.fromkeys([self.clock], df.schema[self.clock].dataType)[self.clock]
+        own = df.schema[self.clock].dataType
         for bound, later in ((bounds.low, True), (bounds.high, False)):
             if bound is not None:
                 edge = F.timestamp_seconds(F.lit(bound if later else bound + 1)).cast(own)
@@ -116,24 +117,20 @@ def orders(spark: SparkSession, sf_dir: str) -> TableSource:
 
 @dataclass
 class Tables(PointSource):
-    """Several sources as one; a series' prefix names its source."""
+    """Several sources as one; a series' prefix names its source, and only that one is opened."""
 
-    parts: dict[str, PointSource]
+    parts: dict[str, Callable[[], PointSource]]
 
     def scan(self, bounds: Bounds = Bounds(), series: str | None = None, series_number: int | None = None) -> DataFrame:
-        chosen = self.parts
+        chosen = list(self.parts.values())
         if series is not None:
             head = series.partition(".")[0]
-            chosen = {head: self.parts[head]} if head in self.parts else dict(list(self.parts.items())[:1])
-        out = None
-        for source in chosen.values():
-            df = source.scan(bounds, series, series_number)
-            out = df if out is None else out.unionByName(df)
-        return out
+            chosen = [self.parts[head]] if head in self.parts else chosen[:1]
+        return reduce(DataFrame.unionByName, (make().scan(bounds, series, series_number) for make in chosen))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables({"events": events(spark, sf_dir), "lineitem": lineitem(spark, sf_dir), "orders": orders(spark, sf_dir)})
+    return Tables({f.__name__: partial(f, spark, sf_dir) for f in (events, lineitem, orders)})
 
 
 def in_range(source: PointSource, low: int, high: int, series: str | None = None, series_number: int | None = None) -> DataFrame:

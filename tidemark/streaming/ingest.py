@@ -25,7 +25,7 @@ def into_store(points: DataFrame, store: Store, checkpoint: str, every: str = "2
 
     def add(batch: DataFrame, epoch: int) -> None:
         # later batches have larger seq, so that the last written wins
-        store.append(batch.withColumn("seq", F.lit(epoch) * F.lit(1 << 40) + F.pmod("seq", F.lit(1 << 40))))
+        store.append(batch.withColumn("seq", F.lit(epoch) * F.lit(1 << 40) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 40))))
 
     writer = points.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
