@@ -87,32 +87,32 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs with the shared lines cut from `text`, and the struct `_lines` of n_lines and n_dropped."""
     spark = docs.sparkSession
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.posexplode(lines).alias("pos", "line")).where("doc is not null").select("doc", "pos", line_key(F.col("line")).alias("key"))
+    # other columns travel packed, so that none can clash with the columns made here
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), F.struct(*docs.columns).alias("row"))
+    lines = F.split("body", "\n", -1)
+    keys = rows.select("doc", F.posexplode(lines).alias("pos", "line")).where("doc is not null").select("doc", "pos", line_key(F.col("line")).alias("key"))
     keys = keys.where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key", F.char_length("key")).alias("h2"), "doc", "pos")
-    bounds = docs.agg(F.min(F.col("doc_id").cast("bigint")), F.max(F.col("doc_id").cast("bigint"))).first()
-    if bounds[0] is None:
-        return docs.withColumn("_lines", F.struct(F.size(lines).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped")))
+    low, high = rows.agg(F.min("doc"), F.max("doc")).first()
     # one row for each key and document; the documents with the largest ids come first
-    width = (bounds[1] - bounds[0]) // batches + 1
     table = written(keys.groupBy(*KEY, "doc").agg(F.collect_set("pos").alias("at")), "line-keys")
     runs = LineRuns(spark, min_docs, fanout)
-    for i in reversed(range(batches)):
-        low = bounds[0] + i * width
-        runs.add(table.where((F.col("doc") >= low) & (F.col("doc") < low + width)).select(*KEY, "doc"))
+    if low is not None:
+        width = (high - low) // batches + 1
+        for i in reversed(range(batches)):
+            start = low + i * width
+            runs.add(table.where((F.col("doc") >= start) & (F.col("doc") < start + width)).select(*KEY, "doc"))
     out = table.join(runs.settled().hint("merge"), KEY).where("doc < top")
     # positions to drop, as bits of one number for each 64 lines
-    bits = out.select("doc", F.explode("at").alias("pos")).groupBy("doc", (F.col("pos").cast("bigint") / 64).cast("bigint").alias("block")).agg(F.bit_or(_bit(F.col("pos"))).alias("mask"))
-    masks = bits.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("_masks")).withColumnRenamed("doc", "_doc")
-    joined = docs.join(masks, F.col("doc_id").cast("bigint") == F.col("_doc"), "left")
+    bits = out.select("doc", F.explode("at").alias("pos")).groupBy("doc", F.floor(F.col("pos") / 64).alias("block")).agg(F.bit_or(_bit(F.col("pos"))).alias("mask"))
+    masks = bits.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("masks"))
+    joined = rows.join(masks, "doc", "left")
     n = F.size(lines)
-    dense = F.when(F.col("_masks").isNotNull(), F.transform(F.sequence(F.lit(0), ((n - 1) / 64).cast("int")), lambda b: F.coalesce(F.try_element_at("_masks", b.cast("bigint")), F.lit(0).cast("bigint"))))
-    kept = F.filter(lines, lambda _, i: F.get(F.col("_dense"), F.floor(i / 64).cast("int")).bitwiseAND(_bit(i)) == 0)
-    names = [c for c in docs.columns if c != "text"]
-    cut = joined.withColumn("_dense", dense).select(*names, "text", F.when(F.col("_masks").isNotNull(), kept).alias("_kept"), n.cast("bigint").alias("_n"))
+    dense = F.when(F.col("masks").isNotNull(), F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda b: F.coalesce(F.try_element_at("masks", b.cast("bigint")), F.lit(0).cast("bigint"))))
+    kept = F.filter(lines, lambda _, i: F.get(F.col("dense"), F.floor(i / 64).cast("int")).bitwiseAND(_bit(i)) == 0)
+    cut = joined.withColumn("dense", dense).select("row", F.when(F.col("masks").isNotNull(), kept).alias("kept"), n.cast("bigint").alias("n"))
     return cut.select(
-        *[F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text")).alias(c) if c == "text" else c for c in docs.columns],
-        F.struct(F.col("_n").alias("n_lines"), F.when(F.col("_kept").isNotNull(), F.col("_n") - F.size("_kept")).otherwise(F.lit(0)).cast("bigint").alias("n_dropped")).alias("_lines"),
+        *[F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text").cast("string")).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.struct(F.col("n").alias("n_lines"), F.when(F.col("kept").isNotNull(), F.col("n") - F.size("kept")).otherwise(F.lit(0)).cast("bigint").alias("n_dropped")).alias("_lines"),
     )
 
 
