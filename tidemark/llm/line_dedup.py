@@ -6,8 +6,8 @@ settled (in `min_docs` documents or more, one of them with a doc_id no smaller)
 sorted run with the number of documents and the largest doc_id. When a level holds `fanout` runs they are merged into one run
 of the next level. In the end the runs' sums tell which keys go from which documents.
 
-Defined results: a null or empty text is one empty line. Rows with one doc_id count as one document, are cut alike and are all
-kept. Rows with a null doc_id count as no document and stay whole. Lines whose key is shorter than `min_chars` always stay; in
+Defined results: a null or empty text is one empty line. Rows with one doc_id count as one document; each is cut by its own
+lines and kept. Rows with a null doc_id count as no document and stay whole. Lines whose key is shorter than `min_chars` always stay; in
 the largest doc_id that holds a key, all its lines stay. Extra columns go through untouched. An empty table gives an empty result.
 """
 
@@ -89,12 +89,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     spark = docs.sparkSession
     # other columns travel packed, so that none can clash with the columns made here
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("form", F.xxhash64("body"))  # tells the texts of one doc_id apart
     lines = F.split("body", "\n", -1)
-    keys = rows.select("doc", F.posexplode(lines).alias("pos", "line")).where("doc is not null").select("doc", "pos", line_key(F.col("line")).alias("key"))
-    keys = keys.where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key", F.char_length("key")).alias("h2"), "doc", "pos")
+    keys = rows.select("doc", "form", F.posexplode(lines).alias("pos", "line")).where("doc is not null").select("doc", "form", "pos", line_key(F.col("line")).alias("key"))
+    keys = keys.where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key", F.char_length("key")).alias("h2"), "doc", F.struct("form", "pos").alias("spot"))
     low, high = rows.agg(F.min("doc"), F.max("doc")).first()
     # one row for each key and document; the documents with the largest ids come first
-    table = written(keys.groupBy(*KEY, "doc").agg(F.collect_set("pos").alias("at")), "line-keys")
+    table = written(keys.groupBy(*KEY, "doc").agg(F.collect_set("spot").alias("at")), "line-keys")
     runs = LineRuns(spark, min_docs, fanout)
     if low is not None:
         width = (high - low) // batches + 1
@@ -103,9 +104,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
             runs.add(table.where((F.col("doc") >= start) & (F.col("doc") < start + width)).select(*KEY, "doc"))
     out = table.join(runs.settled().hint("merge"), KEY).where("doc < top")
     # positions to drop, as bits of one number for each 64 lines
-    bits = out.select("doc", F.explode("at").alias("pos")).groupBy("doc", F.floor(F.col("pos") / 64).alias("block")).agg(F.bit_or(_bit(F.col("pos"))).alias("mask"))
-    masks = bits.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("masks"))
-    joined = rows.join(masks, "doc", "left")
+    bits = out.select("doc", F.explode("at").alias("at")).groupBy("doc", "at.form", F.floor(F.col("at.pos") / 64).alias("block")).agg(F.bit_or(_bit(F.col("at.pos"))).alias("mask"))
+    masks = bits.groupBy("doc", "form").agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("masks"))
+    joined = rows.join(masks, ["doc", "form"], "left")
     n = F.size(lines)
     dense = F.when(F.col("masks").isNotNull(), F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda b: F.coalesce(F.try_element_at("masks", b.cast("bigint")), F.lit(0).cast("bigint"))))
     kept = F.filter(lines, lambda _, i: F.get(F.col("dense"), F.floor(i / 64).cast("int")).bitwiseAND(_bit(i)) == 0)
