@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_CHARS = 24_000_000
@@ -157,7 +157,7 @@ def _encoded(path: str) -> Callable:
                         if x is None:
                             x = known[w] = np.array(piece(w), np.uint32).tobytes()
                         out.append(x)
-                    if len(known) > 2_000_000:
+                    if len(known) > 500_000:
                         known.clear()
                     ids = np.frombuffer(b"".join(out), np.uint32)
                     row = (*row[:4], pack(own, np.array([len(x) // 4 for x in out], np.uint32), planes(ids)))
@@ -217,6 +217,7 @@ def _together(make: Callable) -> Callable:
 
 
 def _run(docs: DataFrame, make: Callable, schema: str, path: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_numbered(n), PACKED).repartition(n, "dest")

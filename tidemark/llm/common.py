@@ -17,6 +17,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Arrow batches of at most so many rows, so that a batch is small both in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def lower_ascii(c):
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 SHINGLE = 5
 RADIUS = 7
@@ -52,7 +52,7 @@ class _Hashes(dict):
         self.classes = classes
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         w = raw.strip(MARKS) or raw
         self[raw] = h = xxhash.xxh3_64_intdigest(w) & ~3 | self.classes.get(w, 3)
@@ -237,6 +237,7 @@ def _slices(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def _indexes(benchmark: DataFrame) -> Iterator:
+    small_batches(benchmark.sparkSession)
     for part in _slices(benchmark):
         yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in part.collect())))
 

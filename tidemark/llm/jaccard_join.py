@@ -29,9 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, small_batches, written
 
-BATCH_HASHES = 2_000_000
+BATCH_HASHES = 1_000_000
 BINS = 32
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
@@ -39,7 +39,7 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -261,6 +261,7 @@ def _pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
 def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sig, n) of every row, and (sig, component) of the signatures that have links."""
     spark, (num, den) = docs.sparkSession, (threshold.numerator, threshold.denominator)
+    small_batches(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = written(rows.mapInArrow(_sets(n), "doc_id bigint, sig bigint, n bigint"), "jaccard-sets")

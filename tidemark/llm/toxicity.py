@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, small_batches, written
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -107,6 +107,7 @@ def _fit(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float = 3e-3, ro
 
 def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000), max_features: int = 50_000) -> Model:
     """Fits on a bounded sample of labelled rows outside the held-out fold; see the module's text for the bounds."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
