@@ -14,7 +14,7 @@
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is its own component. A text with fewer
 than n words has one n-gram, its whole word sequence. Rows with one doc_id are one document each in the result, but name one
-component. Extra columns are dropped. An empty table gives an empty result. Sets are 64-bit hashes of n-grams.
+component; keep_representatives() lets them go together. Extra columns are dropped. An empty table gives an empty result. Sets are 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
@@ -314,8 +314,8 @@ def join_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
 
 def keep_representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows whose doc_id is the smallest of its component, and those with an empty set or a null doc_id; columns as they are."""
-    gone = join_components(docs, n, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = join_components(docs, n, threshold).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["doc_id"], "left_anti")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
