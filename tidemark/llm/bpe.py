@@ -64,7 +64,7 @@ def token_bytes(path: str) -> list[bytes]:
 
 def pack(*parts: np.ndarray | bytes) -> bytes:
     raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
-    return zstandard.compress(np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw), 3)
+    return zstandard.compress(np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw), 6)
 
 
 def unpack(payload: bytes) -> list[bytes]:
