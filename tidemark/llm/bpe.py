@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read, small_batches, trimmed
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_CHARS = 24_000_000
@@ -157,7 +157,7 @@ def _encoded(path: str) -> Callable:
                         if x is None:
                             x = known[w] = np.array(piece(w), np.uint32).tobytes()
                         out.append(x)
-                    if len(known) > 500_000:
+                    if len(known) > 200_000:
                         known.clear()
                     ids = np.frombuffer(b"".join(out), np.uint32)
                     row = (*row[:4], pack(own, np.array([len(x) // 4 for x in out], np.uint32), planes(ids)))
@@ -220,9 +220,9 @@ def _run(docs: DataFrame, make: Callable, schema: str, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = rows.mapInArrow(_numbered(n), PACKED).repartition(n, "dest")
-    encoded = packed.mapInArrow(_encoded(path), PACKED).repartition(n, "block").sortWithinPartitions("block", "kind", "part")
-    return encoded.mapInArrow(_together(make), schema)
+    packed = rows.mapInArrow(trimmed(_numbered(n)), PACKED).repartition(n, "dest")
+    encoded = packed.mapInArrow(trimmed(_encoded(path)), PACKED).repartition(n, "block").sortWithinPartitions("block", "kind", "part")
+    return encoded.mapInArrow(trimmed(_together(make)), schema)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -239,7 +239,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             out = [b"".join([table[i] for i in x or ()]) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "raw"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, raw binary")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id bigint, raw binary")
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

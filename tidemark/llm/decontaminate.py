@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read, small_batches, trimmed
 
 SHINGLE = 5
 RADIUS = 7
@@ -252,7 +252,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
                 hits = list(index.value.search(b.column("text").to_pylist(), threshold))
                 yield pa.record_batch([b.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.float64())], names=["doc_id", "item_id", "start_word", "similarity"])
 
-        return rows.mapInArrow(run, SCHEMA)
+        return rows.mapInArrow(trimmed(run), SCHEMA)
 
     return reduce(DataFrame.unionByName, map(found, _indexes(benchmark)))
 
@@ -268,7 +268,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
                 ok[[h[0] for h in index.value.search(b.column(at).to_pylist(), threshold)]] = False
                 yield b.filter(pa.array(ok))
 
-        return rows.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(trimmed(run), docs.schema)
 
     return reduce(clean, _indexes(benchmark), docs)
 

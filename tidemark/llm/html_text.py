@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read, small_batches, trimmed
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 TOKEN = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<odd>/?[a-zA-Z!?])[^>]*+>)""")
@@ -238,7 +238,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in b.column("html").to_pylist()]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, written
+from .common import read, small_batches, trimmed, written
 
 BATCH_HASHES = 1_000_000
 BINS = 32
@@ -264,11 +264,11 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) ->
     small_batches(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = written(rows.mapInArrow(_sets(n), "doc_id bigint, sig bigint, n bigint"), "jaccard-sets")
+    texts = written(rows.mapInArrow(trimmed(_sets(n)), "doc_id bigint, sig bigint, n bigint"), "jaccard-sets")
     buckets = 4 * width
-    dealt = rows.select("text").mapInArrow(_dealt(n, buckets), "bucket int, sigs binary, sizes binary, counts binary, hashes binary").repartition(width, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(_shared, "sig bigint, n int, hashes binary, dfs binary").repartition(width, "sig").sortWithinPartitions("sig")
-    cand = written(shared.mapInArrow(_text_rows(num, den), "sig bigint, n int, alone int, prefix array<bigint>, bins binary, shared binary"), "jaccard-texts")
+    dealt = rows.select("text").mapInArrow(trimmed(_dealt(n, buckets)), "bucket int, sigs binary, sizes binary, counts binary, hashes binary").repartition(width, "bucket").sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(trimmed(_shared), "sig bigint, n int, hashes binary, dfs binary").repartition(width, "sig").sortWithinPartitions("sig")
+    cand = written(shared.mapInArrow(trimmed(_text_rows(num, den)), "sig bigint, n int, alone int, prefix array<bigint>, bins binary, shared binary"), "jaccard-texts")
     postings = cand.select("sig", "n", "alone", F.posexplode("prefix").alias("pos", "hash")).select("sig", "n", "alone", (F.col("alone") + F.col("pos")).alias("at"), "hash")
     sets = cand.select("sig", "n", "bins", "shared")
 
@@ -276,9 +276,9 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) ->
         """Pairs (a, b) that hold the threshold; the histograms are compared before the sets are fetched."""
         slim = sets.select("sig", "n", "bins")
         near = pairs.join(slim.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")), "a").join(slim.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b")), "b")
-        near = near.mapInArrow(_suffix(num, den), "a bigint, b bigint")
+        near = near.mapInArrow(trimmed(_suffix(num, den)), "a bigint, b bigint")
         whole = near.join(sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("set_a")), "a").join(sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("set_b")), "b")
-        return whole.mapInArrow(_verified(num, den), "a bigint, b bigint")
+        return whole.mapInArrow(trimmed(_verified(num, den)), "a bigint, b bigint")
 
     # round 1: each posting with the pivot of its hash; a is the pivot
     order = F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("sig").alias("sig"), F.col("n").alias("n"), F.col("alone").alias("alone"), F.col("at").alias("at"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, written
+from .common import read, small_batches, trimmed, written
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -124,11 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000
         sample = part if sample is None else sample.unionByName(part)
     # at most sum(per_class) ids and flags: a bounded broadcast
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    table = written(rows.mapInArrow(_featured, "toxic int, found binary"), "toxic-features")
+    table = written(rows.mapInArrow(trimmed(_featured), "toxic int, found binary"), "toxic-features")
     n = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in table.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n[0] or not n[1]:
         return Model(zero, logit(totals[1], totals[0]))
-    counts = table.coalesce(8).mapInArrow(_counted, "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = table.coalesce(8).mapInArrow(trimmed(_counted), "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     ratio = F.log((F.col("n1") + 1) / F.lit(n[1] + 1.0)) - F.log((F.col("n0") + 1) / F.lit(n[0] + 1.0))
     best = counts.where("n0 + n1 >= 3").withColumn("r", ratio).orderBy(F.desc(F.abs("r") * F.sqrt(F.col("n0") + F.col("n1"))), "f").limit(max_features).toPandas()
     if best.empty:
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000
             found = [(p := place[np.frombuffer(raw, np.int32)])[p >= 0].tobytes() for raw in b.column("found").to_pylist()]
             yield pa.record_batch([b.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "found"])
 
-    fitted = table.mapInArrow(picked, "toxic int, found binary").toPandas()
+    fitted = table.mapInArrow(trimmed(picked), "toxic int, found binary").toPandas()
     order = sorted(range(len(fitted)), key=lambda i: (fitted["toxic"][i], bytes(fitted["found"][i])))  # the same sums on every run
     x = [np.frombuffer(fitted["found"][i], np.int32) for i in order]
     w, b = _fit(x, fitted["toxic"].to_numpy()[order], r)
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = shared.value.score(b.column("text").to_pylist())
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -172,7 +172,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.score(b.column(at).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
