@@ -2,6 +2,7 @@
 
 import json
 import math
+import time as clock
 
 import pytest
 from hypothesis import given, settings
@@ -94,6 +95,8 @@ def test_time_bounds():
     assert bounds("time = 7") == Bounds(7, 7)
     assert bounds("time > 1 or time < 0") == Bounds()
     assert bounds("time >= '1970-01-02'") == Bounds(86400, None)
+    recent = bounds("time between now() - 1h and now()")
+    assert 3600 <= clock.time() - recent.low < 3700 and recent.high is None
 
 
 def test_bounds_reach_the_files(spark, tmp_path):

@@ -2,7 +2,7 @@ import pytest
 
 from tidemark.functions.registry import FUNCTIONS, ArgumentError, result_type
 from tidemark.plans.checks import check
-from tidemark.plans.language import Binary, Call, Delete, Explain, Insert, LanguageError, Literal, Name, Select, Unary, parse, tokens
+from tidemark.plans.language import Binary, Call, Delete, Explain, Insert, LanguageError, Literal, Name, Select, Unary, parse, tokens, walk
 
 
 def codes(text):
@@ -93,3 +93,11 @@ def test_function_types():
     for name, types in (("percentile", ["value"]), ("percentile", ["value", "integer"]), ("rate", ["boolean"]), ("time_bucket", ["integer"]), ("coalesce", [])):
         with pytest.raises(ArgumentError):
             result_type(name, types)
+
+
+def test_times_durations_and_patterns():
+    s = parse("select 1h30m from 'ns.metric' where time >= 2024-03-01T00:00:00Z and time < 2024-03-01T01:00:00+01:00 and tag.env =~ /prod|st\\/aging/")
+    assert s.items[0].expr == Literal(5400) and s.selector.name == "ns.metric"
+    found = [e.value for e in walk(s.where) if isinstance(e, Literal)]
+    assert found == [1709251200, 1709251200, "prod|st/aging"]
+    assert parse("select 8 / 2 / 2").items[0].expr == Binary("/", Binary("/", Literal(8), Literal(2)), Literal(2))

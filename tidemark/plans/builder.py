@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time as clock
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,10 +39,10 @@ def constant(expr: Expr) -> int | float | str | bool | None:
     raise PlanError("a constant is needed")
 
 
-def _seconds(expr: Expr) -> int | float | None:
-    """A constant time; None for anything else."""
+def _seconds(expr: Expr, low: bool = False) -> int | float | None:
+    """A constant time; None for anything else. The clock when the plan is made is a lower bound of now(), never an upper one."""
     try:
-        value = constant(expr)
+        value = constant(_clocked(expr) if low else expr)
     except PlanError:
         return None
     if isinstance(value, str):
@@ -49,6 +50,16 @@ def _seconds(expr: Expr) -> int | float | None:
     return value if isinstance(value, int | float) and not isinstance(value, bool) else None
 
 
+def _clocked(expr: Expr) -> Expr:
+    """now() as the time of planning, where a later now() only raises the value."""
+    match expr:
+        case Call(name, ()) if name.lower() == "now":
+            return Literal(int(clock.time()))
+        case Binary(op, left, right) if op in "+-":
+            return Binary(op, _clocked(left), _clocked(right) if op == "+" else right)
+    return expr
+
+
 def _is_time(expr: Expr) -> bool:
     return isinstance(expr, Name) and expr.parts[-1].lower() == "time" and expr.parts[0].lower() != "tag"
 
@@ -61,12 +72,12 @@ def time_bounds(where: Expr | None) -> Bounds:
             lows, highs = [x for x in (a.low, b.low) if x is not None], [x for x in (a.high, b.high) if x is not None]
             return Bounds(max(lows, default=None), min(highs, default=None))
         case Between(operand, low, high) if _is_time(operand):
-            a, b = _seconds(low), _seconds(high)
+            a, b = _seconds(low, low=True), _seconds(high)
             return Bounds(None if a is None else int(a // 1), None if b is None else int(b // 1))
         case Binary(op, left, right) if op in ("<", "<=", ">", ">=", "="):
             if _is_time(right):
                 left, right, op = right, left, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
-            value = _seconds(right) if _is_time(left) else None
+            value = _seconds(right, low=op in (">", ">=")) if _is_time(left) else None
             if value is None:
                 return Bounds()
             edge = int(value // 1)
