@@ -56,9 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing twice."""
+def written(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing twice.
+
+    slim: its rows are few and small next to the input, so that a file for each 16 shuffle partitions is enough.
+    """
     spark = df.sparkSession
+    if slim:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

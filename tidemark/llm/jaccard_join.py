@@ -226,7 +226,7 @@ def _verified(num: int, den: int) -> Callable:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b): alternating large-star and small-star steps until nothing changes."""
-    edges = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "links")
+    edges = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "links", slim=True)
     for _ in range(rounds):
         # large star: every node's larger neighbours go to the smallest of its neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -236,7 +236,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
         moved = small.select(F.col("m").alias("x"), F.col("u").alias("y")).union(small.select(F.col("m").alias("x"), F.col("v").alias("y")))
-        after = written(moved.where("x < y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links")
+        after = written(moved.where("x < y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links", slim=True)
         # done when every node has one parent and no parent has one itself, which holds if nothing changed
         marks = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, after)]
         edges = after
@@ -283,8 +283,8 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) ->
     # round 1: each posting with the pivot of its hash; a is the pivot
     order = F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("sig").alias("sig"), F.col("n").alias("n"), F.col("alone").alias("alone"), F.col("at").alias("at"))
     pivots = postings.groupBy("hash").agg(F.min(order).alias("p"), F.count("*").alias("held")).where("held > 1").select("hash", "p.sig", "p.n", "p.at")
-    tried = written(_pairs(pivots, postings, num, den).where("l.sig != r.sig").select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct(), "jaccard-pairs")
-    links = written(verify(tried), "jaccard-links")
+    tried = written(_pairs(pivots, postings, num, den).where("l.sig != r.sig").select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct(), "jaccard-pairs", slim=True)
+    links = written(verify(tried), "jaccard-links", slim=True)
     first = components(links)
     # round 2: what postings of different components are left
     named = postings.join(first.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", "at", "hash", F.coalesce("component", "sig").alias("c"))
@@ -293,14 +293,14 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) ->
     left = named.join(mixed, "hash", "left_semi")
     rest = _pairs(left, left, num, den).where("l.c != r.c and l.sig < r.sig").select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct()
     rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = written(verify(rest), "jaccard-links")
+    found = written(verify(rest), "jaccard-links", slim=True)
     return texts, components(links.union(found)).withColumnRenamed("node", "sig")
 
 
 def _named(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """(sig, component_id) of every signature; one row for each, so that no group of equal texts is gathered anywhere."""
     least = texts.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    named = written(least.join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-names")
+    named = written(least.join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-names", slim=True)
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(roots, "component").select("sig", "component_id")
 
