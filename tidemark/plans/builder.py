@@ -15,7 +15,7 @@ from ..operators import fill as fill_operator
 from ..sources.points import Bounds, PointSource
 from ..sources.series import signed
 from .checks import buckets, calls, type_of
-from .language import Between, Binary, Call, Expr, Item, Literal, Name, Select, Unary, instant, walk
+from .language import Between, Binary, Call, Expr, Item, Literal, Name, Select, Unary, instant
 
 
 class PlanError(ValueError):
@@ -304,7 +304,3 @@ def explain(df: DataFrame) -> str:
     """The formatted plan as text."""
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
-
-def only(expr: Expr, kinds: frozenset[str]) -> bool:
-    """Whether all aggregates of the expression are of these kinds."""
-    return all(c.name.lower() in kinds for c in walk(expr) if isinstance(c, Call) and c.name.lower() in AGGREGATES)
