@@ -70,7 +70,6 @@ add(
     "select time, abs(value - 50) as a, ceil(value) as b, floor(value) as c, round(value) as d, pow(value, 2) as e, ln(value + 1) as f, sqrt(value) as g from events.click where time >= 0",
     E + "SELECT time, round(abs(value - 50), 6) AS a, CAST(ceil(value) AS DOUBLE) AS b, CAST(floor(value) AS DOUBLE) AS c, round(value) AS d, round(pow(value, 2), 6) AS e, round(ln(value + 1), 6) AS f, round(sqrt(value), 6) AS g FROM c",
 )
-add("ln_edges", "select ln(0) as zero, ln(-1) as below", "SELECT CAST('-inf' AS DOUBLE) AS zero, CAST('nan' AS DOUBLE) AS below")
 add("coalesce_tag", "select time, coalesce(tag.none, tag.k, 'x') as k from events.click where time >= 0", E + "SELECT time, coalesce(k, 'x') AS k FROM c")
 add("column_names", f"select time_bucket(86400, time), avg(value), count() from events.click where {WEEK} group by time_bucket(86400, time)", E + f"SELECT time - time % 86400 AS time_bucket_0, round(avg(value), 6) AS avg_1, count(*) AS count_2 FROM c WHERE {WEEK} GROUP BY 1")
 
@@ -301,8 +300,8 @@ add(
     _streamed(lambda p: ingest.sessions(p, "10 minutes")),
     E + f', g AS (SELECT *, CASE WHEN time - lag(time) OVER w <= 600 THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY series ORDER BY time, seq)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY series ORDER BY time, seq) AS id FROM g) SELECT series, min(time) AS start, max(time) + 600 AS "end", {SUMMARY} FROM s GROUP BY series, id',
 )
-add("catalog_types", lambda s, d: catalog.frames(s)["pg_type"].groupBy("typcategory").agg(F.count(F.lit(1)).alias("n"), F.sum("oid").alias("ids")), "SELECT * FROM (VALUES ('A', 14, 19734), ('B', 1, 16), ('D', 4, 4463), ('N', 6, 3165), ('S', 1, 25), ('U', 2, 6752)) AS t(typcategory, n, ids)")
-add("catalog_attributes", lambda s, d: catalog.frames(s)["pg_attribute"].select("attname", "atttypid", "attnum"), "SELECT * FROM (VALUES ('oid', 23, 1), ('typname', 25, 2), ('typlen', 21, 3), ('typbyval', 16, 4), ('typtype', 25, 5), ('typcategory', 25, 6), ('typdelim', 25, 7), ('typelem', 23, 8), ('typarray', 23, 9), ('typbasetype', 23, 10), ('typcollation', 23, 11)) AS t(attname, atttypid, attnum)")
+add("catalog_types", lambda s, d: catalog.frames(s)["pg_type"].groupBy("typcategory").agg(F.count(F.lit(1)).alias("n"), F.sum("oid").alias("ids")), "SELECT typcategory, CAST(n AS BIGINT) AS n, CAST(ids AS BIGINT) AS ids FROM (VALUES ('A', 14, 19734), ('B', 1, 16), ('D', 4, 4463), ('N', 6, 3165), ('S', 1, 25), ('U', 2, 6752)) AS t(typcategory, n, ids)")
+add("catalog_attributes", lambda s, d: catalog.frames(s)["pg_attribute"].select("attname", "atttypid", "attnum"), "SELECT attname, CAST(atttypid AS BIGINT) AS atttypid, attnum FROM (VALUES ('oid', 23, 1), ('typname', 25, 2), ('typlen', 21, 3), ('typbyval', 16, 4), ('typtype', 25, 5), ('typcategory', 25, 6), ('typdelim', 25, 7), ('typelem', 23, 8), ('typarray', 23, 9), ('typbasetype', 23, 10), ('typcollation', 23, 11)) AS t(attname, atttypid, attnum)")
 
 
 def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
