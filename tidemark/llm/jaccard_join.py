@@ -264,7 +264,7 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) ->
     small_batches(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = written(rows.mapInArrow(trimmed(_sets(n)), "doc_id bigint, sig bigint, n bigint"), "jaccard-sets")
+    texts = written(rows.mapInArrow(trimmed(_sets(n)), "doc_id bigint, sig bigint, n bigint"), "jaccard-sets", slim=True)
     buckets = 4 * width
     dealt = rows.select("text").mapInArrow(trimmed(_dealt(n, buckets)), "bucket int, sigs binary, sizes binary, counts binary, hashes binary").repartition(width, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(trimmed(_shared), "sig bigint, n int, hashes binary, dfs binary").repartition(width, "sig").sortWithinPartitions("sig")
