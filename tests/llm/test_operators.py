@@ -158,6 +158,23 @@ def test_language_model_is_a_code():
     assert sum(10 ** (x - start) for x in both) == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_counts_every_unit_in_all_orders(monkeypatch):
+    """A word seen once beside one seen 50 million times is in the long contexts, too."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys, counts = [b"\x01common ", b"\x01uncommonly "], np.array([50_000_000, 1])
+    payload = language_model.pack(b"", language_model.planes(counts), np.array([len(k) for k in keys], np.uint32), b"".join(keys))
+    monkeypatch.setattr(language_model, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    pieces = list(language_model._gathered(1000)(iter([pa.record_batch([pa.array([payload], pa.binary())], names=["payload"])])))
+    parts = {b.column("order")[0].as_py(): np.frombuffer(language_model.unpack(b.column("payload")[0].as_py())[0], np.float32).reshape(2, -1) for b in pieces if b.column("order")[0].as_py() >= 0}
+    rare = np.zeros((len(language_model.ORDERS), 2, 1 << language_model.BITS))
+    language_model.count_bits(keys[1:], counts[1:], rare)
+    for o in range(len(language_model.ORDERS)):
+        found = np.concatenate([parts[o * language_model.SLICES + i] for i in range(language_model.SLICES)], axis=1)
+        assert (found[rare[o] > 0] >= 1).all()
+
+
 # -- 4
 def test_decontamination(spark, odd_docs, no_docs):
     rnd = random.Random(2)
