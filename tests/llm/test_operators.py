@@ -359,6 +359,25 @@ def test_jaccard_chain_of_near_copies(spark):
     assert Counter(got) == Counter(linked(data, 4, Fraction(85, 100))) and len({r[2] for r in got}) == 1
 
 
+def test_jaccard_every_link_is_counted(spark, odd_docs, no_docs):
+    """Links within a component beyond those to its pivot, and rows of equal sets."""
+    data, df = some_docs(spark, seed=4)
+    base_words = [f"b{i}" for i in range(120)]
+    near = [(1000 + k, " ".join(f"x{k}" if i == 9 * k else w for i, w in enumerate(base_words))) for k in range(12)]
+    data = [*data, *near, (2000, near[3][1].upper())]
+    for docs, source in ((spark.createDataFrame(data, "doc_id bigint, text string"), data), (odd_docs, DOCS)):
+        sets = []
+        for _, text in source:
+            w = words((text or "").translate(LOWER))
+            sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        n_links = Counter(x for p in pairs for x in p)
+        got, links = jaccard_join.join_links(docs, 4, Fraction(85, 100))
+        assert Counter(rows(got.drop("sig"))) == Counter((*r, n_links[k]) for k, r in enumerate(linked(source, 4, Fraction(85, 100))))
+        assert links.count() == len({frozenset((frozenset(sets[a]), frozenset(sets[b]))) for a, b in pairs if sets[a] != sets[b]})
+    assert rows(jaccard_join.join_links(no_docs)[0]) == []
+
+
 def test_jaccard_representatives(spark, odd_docs, no_docs):
     kept = jaccard_join.keep_representatives(odd_docs)
     assert kept.columns == odd_docs.columns

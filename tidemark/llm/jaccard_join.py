@@ -9,8 +9,9 @@
    the posting of the text with the smallest share of unshared hashes; so a group of copies costs its size, not its square.
    After the links found are joined into components, the second round takes every pair of postings of a hash from different
    components. Pairs pass the length filter, the positional filter and the suffix filter (histograms of the shared hashes bound
-   the overlap), are made distinct, and are verified on the whole sets. What is left unpaired lies in one component already:
-   components are exact, and no pair of a group of copies is made beyond its link to the pivot.
+   the overlap), are made distinct, and are verified on the whole sets. What is left unpaired lies in one component already, and
+   components are exact. Where links are asked for, the second round takes every pair of postings of a hash, within components too:
+   every link between different signatures is verified. Texts of one signature stay one, with their number of rows.
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is its own component. A text with fewer
 than n words has one n-gram, its whole word sequence. Rows with one doc_id are one document each in the result, but name one
@@ -258,8 +259,8 @@ def _pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
     return a.join(b, F.col("l.hash") == F.col("r.hash")).where(ok)
 
 
-def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sig, n) of every row, and (sig, component) of the signatures that have links."""
+def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, sig, n) of every row, (sig, component) of the signatures that have links, and links (a, b), if `whole` all of them."""
     spark, (num, den) = docs.sparkSession, (threshold.numerator, threshold.denominator)
     small_batches(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -286,15 +287,20 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) ->
     tried = written(_pairs(pivots, postings, num, den).where("l.sig != r.sig").select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct(), "jaccard-pairs", slim=True)
     links = written(verify(tried), "jaccard-links", slim=True)
     first = components(links)
-    # round 2: what postings of different components are left
-    named = postings.join(first.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", "at", "hash", F.coalesce("component", "sig").alias("c"))
-    named = written(named, "jaccard-postings")
-    mixed = named.groupBy("hash").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("hash")
-    left = named.join(mixed, "hash", "left_semi")
-    rest = _pairs(left, left, num, den).where("l.c != r.c and l.sig < r.sig").select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct()
+    # round 2: what postings are left, of different components or all
+    if whole:
+        rest = _pairs(postings, postings, num, den).where("l.sig < r.sig")
+    else:
+        named = postings.join(first.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", "at", "hash", F.coalesce("component", "sig").alias("c"))
+        named = written(named, "jaccard-postings")
+        mixed = named.groupBy("hash").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("hash")
+        left = named.join(mixed, "hash", "left_semi")
+        rest = _pairs(left, left, num, den).where("l.c != r.c and l.sig < r.sig")
+    rest = rest.select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct()
     rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     found = written(verify(rest), "jaccard-links", slim=True)
-    return texts, components(links.union(found)).withColumnRenamed("node", "sig")
+    every = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().union(found)
+    return texts, components(every).withColumnRenamed("node", "sig"), every
 
 
 def _named(texts: DataFrame, parts: DataFrame) -> DataFrame:
@@ -307,9 +313,27 @@ def _named(texts: DataFrame, parts: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row."""
-    texts, parts = linked(docs, n, threshold)
+    texts, parts, _ = linked(docs, n, threshold)
+    return _rows(texts, parts)
+
+
+def _rows(texts: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
     ids = _named(texts, parts)
-    return texts.join(ids, (texts["sig"] == ids["sig"]) & (texts["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return texts.join(ids, (texts["sig"] == ids["sig"]) & (texts["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *[texts[c] for c in more])
+
+
+def join_links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> tuple[DataFrame, DataFrame]:
+    """The rows of join_components with sig and n_links, the number of other rows that a row is linked with, and the links.
+
+    Links (sig_a, sig_b) are all pairs of different signatures at the threshold or above; rows of one signature are linked, too.
+    """
+    texts, parts, links = linked(docs, n, threshold, whole=True)
+    held = texts.where("n > 0").groupBy("sig").agg(F.count("*").alias("held"))
+    both = links.union(links.select("b", "a")).toDF("sig", "other")
+    others = both.join(held.toDF("other", "held"), "other").groupBy("sig").agg(F.sum("held").alias("others"))
+    counts = held.join(others, "sig", "left").select(F.col("sig").alias("s"), (F.col("held") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    counted = texts.join(counts, (F.col("sig") == F.col("s")) & (F.col("n") > 0), "left").select("doc_id", "sig", "n", F.coalesce("links", F.lit(0)).alias("n_links"))
+    return _rows(written(counted, "jaccard-counts", slim=True), parts, "sig", "n_links"), links.toDF("sig_a", "sig_b")
 
 
 def keep_representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -319,4 +343,4 @@ def keep_representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Frac
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(read(spark, sf_dir, "documents"), 4, Fraction(85, 100))
+    return join_links(read(spark, sf_dir, "documents"), 4, Fraction(85, 100))[0].drop("sig")
