@@ -204,6 +204,34 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert rows(decontaminate.leaks(no_docs, benchmark)) == [] and rows(decontaminate.leaks(odd_docs, benchmark.where("item_id < 0"))) == []
 
 
+def test_decontamination_finds_every_near_copy():
+    """Near copies that lost their start, or with words changed, put in or left out: against all starts of all items."""
+    rnd = random.Random(6)
+    text = lambda n: [f"w{rnd.randrange(300)}" for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate((3, 5, 9, 18, 22, 27, 30, 48, 55, 60, 120, 200))]
+    items.append((len(items), (items[5][1][:9] * 4)[:34]))  # equal shingles
+    texts = [[], ["w1"]]
+    for _, w in items:
+        n = len(w)
+        cut = max(1, n // 12)
+        mid = n // 2
+        for near in (w[cut:], w[:-cut], w[:mid] + ["zz"] + w[mid + 1 :], w[:mid] + ["zz"] + w[mid:], w[: mid - 1] + w[mid:], ["zz"] * cut + w[cut:]):
+            texts += [text(rnd.randrange(30)) + near + text(rnd.randrange(30)), near]
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in items])
+    got = {(t, i): (a, s) for t, i, a, s in index.search([" ".join(w) for w in texts], 0.8)}
+    import numpy as np
+
+    want = {}
+    for t, w in enumerate(texts):
+        h = np.fromiter(map(index.known.__getitem__, (x.encode() for x in w)), np.uint64, len(w))
+        for (i, words_of), shingles in zip(items, index.shingles, strict=True):
+            n = len(words_of)
+            found = [(-decontaminate.similarity(shingles, decontaminate._shingles(h[max(0, a) : a + n])), max(0, a)) for a in range(1 - n, len(h))]
+            if found and -min(found)[0] >= 0.8:
+                want[t, i] = min(found)[1], -min(found)[0]
+    assert len(want) > 80 and got == want
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_WORDS", 30)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(10)]

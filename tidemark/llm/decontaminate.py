@@ -11,6 +11,10 @@ Two fingerprints at a distance of up to 7 agree in a block, so every pair within
 would stand; the words there and the item's are compared by weighted multisets of their 5-word shingles: sum of minima over sum
 of maxima, `threshold` (0.8) or more is a leak.
 
+Fingerprints miss near copies whose start was cut or changed. So the item's rarest shingles that make up more than 1 - threshold of its
+weight are looked up in the text as well: a place at the threshold or above shares at least `threshold` of the item's weight and
+thus one of them. Every start whose window holds one is compared, by running sums, so that no place at the threshold is lost.
+
 The benchmark is shared with the executors in slices of at most `SLICE_WORDS` words; a larger benchmark takes one pass a slice.
 
 Defined results: null or blank items and texts match nothing. An item or text with fewer than five words has one shingle, all its
@@ -86,9 +90,8 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view("<u8").ravel()
 
 
-def _shingles(h: np.ndarray) -> dict[int, tuple[int, int]]:
-    """Count and weight of each shingle of the words."""
-    k = min(SHINGLE, len(h))
+def _hashed(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and weight of each run of k words."""
     m = len(h) - k + 1
     x, w = np.zeros(m, np.uint64), np.zeros(m, np.int64)
     weight = WEIGHTS[(h & np.uint64(3)).astype(np.intp)].astype(np.int64)
@@ -96,6 +99,12 @@ def _shingles(h: np.ndarray) -> dict[int, tuple[int, int]]:
         x = (x ^ h[i : i + m]) * _MIX
         x ^= x >> np.uint64(29)
         w += weight[i : i + m]
+    return x, w
+
+
+def _shingles(h: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Count and weight of each shingle of the words."""
+    x, w = _hashed(h, min(SHINGLE, len(h)))
     n = Counter(x.tolist())
     return {s: (n[s], v) for s, v in zip(x.tolist(), w.tolist(), strict=True)}
 
@@ -107,9 +116,9 @@ def similarity(a: dict, b: dict) -> float:
 
 
 class Index:
-    """Fingerprints of a benchmark slice by window size, with block tables."""
+    """Fingerprints of a benchmark slice by window size, with block tables, and its rare shingles by shingle size."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.8):
         split = [(i, [w.strip(MARKS) or w for w in _words(t)]) for i, t in items]
         split = [(i, w) for i, w in split if w]
         df = Counter(x for _, w in split for x in set(w))
@@ -145,6 +154,29 @@ class Index:
                 blocks.append((by, np.cumsum(count) - count, count))
             self.tables[key] = (prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), blocks, gates)
 
+        self._probes(threshold)
+
+    def _probes(self, threshold: float) -> None:
+        held = Counter(x for s in self.shingles for x in s)
+        self.sorted, found = [], {}
+        for k, s in enumerate(self.shingles):
+            keys = sorted(s)
+            self.sorted.append((np.array(keys, np.uint64), np.array([s[x][0] for x in keys], np.int64), np.array([s[x][1] for x in keys], np.int64)))
+            left = (1 - threshold) * sum(n * w for n, w in s.values()) + 1e-6
+            for x in sorted(keys, key=lambda x: (held[x], -s[x][0] * s[x][1], x)):
+                if left < 0:
+                    break
+                left -= s[x][0] * s[x][1]
+                found.setdefault(min(SHINGLE, len(self.words[k])), []).append((x, k))
+        self.probes = {}
+        for k, pairs in found.items():
+            pairs.sort()
+            keys = np.array([p[0] for p in pairs], np.uint64)
+            shift = np.uint64(64 - max(16, (16 * len(keys)).bit_length()))
+            gate = np.zeros(1 << (64 - int(shift)), bool)
+            gate[(keys >> shift).astype(np.intp)] = True
+            self.probes[k] = keys, np.array([p[1] for p in pairs]), gate, shift
+
     def __reduce__(self) -> tuple:
         state = {k: v for k, v in self.__dict__.items() if k != "known"}  # each worker fills its own
         return _restored, (state,)
@@ -186,6 +218,71 @@ class Index:
                 found.update(zip(item[f].tolist(), (w * grid - offset[f]).tolist(), strict=True))
         return found
 
+    def ranges(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and last start) of the places whose windows hold a rare shingle of the item."""
+        hits = []
+        for k, (keys, items, gate, shift) in self.probes.items():
+            for low in range(0, len(flat) - k + 1, CHUNK):
+                x, _ = _hashed(flat[low : low + CHUNK + k - 1], k)
+                at = np.flatnonzero(gate[(x >> shift).astype(np.intp)])
+                i = np.searchsorted(keys, x[at], "left")
+                n = np.searchsorted(keys, x[at], "right") - i
+                q = np.repeat(at + low, n)
+                item = items[np.repeat(i - np.cumsum(n) + n, n) + np.arange(len(q))]
+                r = np.searchsorted(ends, q, "right")
+                ok = q + k <= ends[r]  # not from one text into the next
+                hits.append(np.stack([r[ok], item[ok], q[ok]]))
+        if not hits:
+            return
+        r, item, q = np.concatenate(hits, axis=1)
+        by = np.lexsort((q, item, r))
+        at = None
+        for t, i, p in zip(r[by].tolist(), item[by].tolist(), q[by].tolist(), strict=True):
+            n = len(self.words[i])
+            first = p - n + min(SHINGLE, n)
+            if at and at[:2] == (t, i) and first <= at[3] + 1:
+                at = (t, i, at[2], p)
+                continue
+            if at:
+                yield at
+            at = (t, i, first, p)
+        if at:
+            yield at
+
+    def best(self, item: int, flat: np.ndarray, first: int, end: int, low: int, high: int, threshold: float) -> tuple[float, int]:
+        """Similarity and place of the best start from low to high in the text from first to end; (0, first) if all are below the threshold."""
+        keys, counts, weights = self.sorted[item]
+        n = len(self.words[item])
+        k, a = min(SHINGLE, n), max(first, low)
+        x, w = _hashed(flat[a : min(end, high + n)], k)
+        i = np.searchsorted(keys, x)
+        i[i == len(keys)] = 0
+        p = np.flatnonzero(keys[i] == x)
+        i = i[p]
+        own = int(counts @ weights)
+        if np.minimum(np.bincount(i, minlength=len(keys)), counts) @ weights < threshold * own - 1e-6:
+            return 0.0, first
+        # a window counts the last of its equal shingles, as many as the item has: each over one run of starts
+        by = np.argsort(i, kind="stable")
+        i, p = i[by], p[by] + a
+        start, stop = p - n + k, p.copy()
+        later = np.arange(len(i)) + counts[i]
+        more = later < len(i)
+        more[more] = i[later[more]] == i[more]
+        stop[more] = np.minimum(stop[more], p[later[more]] - n + k - 1)
+        start, stop = np.maximum(start, low), np.minimum(stop, high)
+        live = stop >= start
+        size = high - low + 2
+        steps = np.bincount(start[live] - low, weights[i[live]], size) - np.bincount(stop[live] + 1 - low, weights[i[live]], size)
+        both = np.cumsum(np.rint(steps).astype(np.int64))[:-1]
+        starts = np.arange(low, high + 1)
+        sums = np.concatenate([[0], np.cumsum(w)])
+        left = np.clip(np.maximum(starts, first) - a, 0, len(w))
+        right = np.maximum(left, np.clip(np.minimum(starts + n, end) - k + 1 - a, 0, len(w)))
+        s = both / (own + sums[right] - sums[left] - both)
+        j = int(np.argmax(s))
+        return float(s[j]), max(first, int(starts[j]))
+
     def search(self, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, int, float]]:
         """(text, item, start, similarity) of the best place of each item in each text where it reaches the threshold."""
         known = self.known
@@ -219,6 +316,11 @@ class Index:
                     s = similarity(self.shingles[item], _shingles(flat[a:e]))
                     if s >= threshold and ((r, item) not in best or (-s, a - first) < (-best[r, item][0], best[r, item][1])):
                         best[r, item] = (s, a - first)
+        for r, item, low, high in self.ranges(flat, ends):
+            first = int(ends[r]) - len(runs[r])
+            s, a = self.best(item, flat, first, int(ends[r]), low, high, threshold)
+            if s >= threshold and ((r, item) not in best or (-s, a - first) < (-best[r, item][0], best[r, item][1])):
+                best[r, item] = (s, a - first)
         for (r, item), (s, a) in sorted(best.items()):
             yield which[r], self.ids[item], a, s
 
@@ -236,10 +338,10 @@ def _slices(benchmark: DataFrame) -> list[DataFrame]:
     return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
 
 
-def _indexes(benchmark: DataFrame) -> Iterator:
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator:
     small_batches(benchmark.sparkSession)
     for part in _slices(benchmark):
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in part.collect())))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in part.collect()), threshold))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -254,7 +356,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
 
         return rows.mapInArrow(trimmed(run), SCHEMA)
 
-    return reduce(DataFrame.unionByName, map(found, _indexes(benchmark)))
+    return reduce(DataFrame.unionByName, map(found, _indexes(benchmark, threshold)))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -270,7 +372,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
 
         return rows.mapInArrow(trimmed(run), docs.schema)
 
-    return reduce(clean, _indexes(benchmark), docs)
+    return reduce(clean, _indexes(benchmark, threshold), docs)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
