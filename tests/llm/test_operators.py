@@ -232,6 +232,30 @@ def test_decontamination_finds_every_near_copy():
     assert len(want) > 80 and got == want
 
 
+def test_fingerprints_alone_find_near_copies():
+    """Whole items are fingerprinted: edits at the front, in the middle, at the tail and scattered, in items of 15 to 10,000 words."""
+    rnd = random.Random(4)
+    word = lambda: f"c{rnd.randrange(40)}" if rnd.random() < 0.5 else f"w{rnd.randrange(3000)}"
+    text = lambda n: [word() for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate((15, 18, 22, 27, 34, 35, 48, 49, 60, 100, 200, 400, 448, 451, 800, 2000, 6000, 10_000))]
+    rows = [(k, " ".join(w)) for k, w in items]
+    alone, whole = decontaminate.Index(rows, exact=False), decontaminate.Index(rows)
+    texts, owner = [], []
+    for k, w in items:
+        n = len(w)
+        for share in (0.02, 0.05, 0.1):
+            m = max(1, int(n * share))
+            a = rnd.randrange(n - m + 1)
+            scattered = [x if rnd.random() > 1 / 50 else word() for x in w]
+            less = [x for x in w if rnd.random() > 1 / 60]
+            for near in (text(m) + w[m:], w[:-m] + text(m), w[:a] + text(m) + w[a + m :], scattered, less, w):
+                texts.append(" ".join(text(rnd.randrange(60)) + near + text(rnd.randrange(60))))
+                owner.append(k)
+    found, want = ({(t, i) for t, i, _, _ in x.search(texts, 0.8) if owner[t] == i} for x in (alone, whole))
+    assert len(want) > 220 and found <= want and len(found) >= 0.97 * len(want)
+    assert all((t, i) in found for t, i in enumerate(owner) if t % 6 == 5)  # whole copies
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_WORDS", 30)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(10)]
@@ -245,8 +269,8 @@ def test_every_fingerprint_within_the_radius_is_found():
     import numpy as np
 
     index = decontaminate.Index([(k, " ".join(f"v{k * 7 + j}" for j in range(30))) for k in range(60)])
-    key = next(iter(index.tables))
-    prints = index.tables[key][0]
+    key = next(iter(index.prints))
+    prints = index.prints[key][0]
     rnd = np.random.default_rng(0)
     x = prints[rnd.integers(0, len(prints), 3000)].copy()
     for i in range(len(x)):

@@ -1,19 +1,19 @@
-"""Benchmark decontamination by SimHash of item-sized windows and exact verification.
+"""Benchmark decontamination by SimHash of windows and exact verification.
 
-Words are lower-cased (A-Z) and stripped of ASCII marks at their ends. A benchmark item of L words is fingerprinted over windows of
-W words, W the largest window size that fits into L - 3, at its first four starts; a text over windows of W words at every
-fourth word. So wherever a whole item stands in a text, one window of the text meets one of the item's word by word. A
-fingerprint is the 64-bit SimHash of the window's words, weighted by their rarity among the items.
+Words are lower-cased (A-Z) and stripped of ASCII marks at their ends. A fingerprint is the 64-bit SimHash of a window's words, weighted
+by their rarity among the items. A benchmark item is fingerprinted at every start along its whole length, a text at every fourth word. The
+windows of an item of L words have the largest size of `SIZES` that fits into 0.6 L - 3 words, from 35 words on into (L - 3) / 2:
+a near copy at the threshold can lose a fifth at an end, or, in longer items, a word in about 45, so that some run of a window and
+three words is left as it was, and of the item's fingerprints there one meets the text's.
 
-Multi-index: a fingerprint is cut into 8 blocks of 8 bits, each block is looked up, and what agrees in a block is compared whole.
-Two fingerprints at a distance of up to 7 agree in a block, so every pair within `RADIUS` is found. (Before that, one of the four
-16-bit blocks must be within one bit of an item's, which any pair within 7 fulfils, too.) A candidate fixes where the item
-would stand; the words there and the item's are compared by weighted multisets of their 5-word shingles: sum of minima over sum
-of maxima, `threshold` (0.8) or more is a leak.
+Multi-index: a fingerprint is cut into 4 blocks of 16 bits, each block is looked up in a table, and what agrees in a block is compared
+whole. Two fingerprints at a distance of up to `RADIUS` (3) agree in a block, so every pair within it is found. A candidate fixes where
+the item would stand; around there, all starts are compared by weighted multisets of 5-word shingles: sum of minima over sum of
+maxima, `threshold` (0.8) or more is a leak.
 
-Fingerprints miss near copies whose start was cut or changed. So the item's rarest shingles that make up more than 1 - threshold of its
-weight are looked up in the text as well: a place at the threshold or above shares at least `threshold` of the item's weight and
-thus one of them. Every start whose window holds one is compared, by running sums, so that no place at the threshold is lost.
+What fingerprints cannot prove (edits that leave no run whole, as a few light words of a short item allow) has an exact way: the item's
+rarest shingles that make up more than 1 - threshold of its weight are looked up in the text as well. A place at the threshold or
+above shares at least `threshold` of the item's weight and thus one of them; every start whose window holds one is compared.
 
 The benchmark is shared with the executors in slices of at most `SLICE_WORDS` words; a larger benchmark takes one pass a slice.
 
@@ -25,8 +25,9 @@ and are dropped in leaks(). Empty tables give an empty result (keep_clean: the d
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,11 @@ from pyspark.sql import functions as F
 from .common import read, small_batches, trimmed
 
 SHINGLE = 5
-RADIUS = 7
+RADIUS = 3
+BLOCKS = 4
 GRID = 4
-SIZES = (4, 8, 12, 16, 20, 24, 32, 40, 52, 68, 88, 116, 152, 200, 264, 344, 448)
-SLICE_WORDS = 2_000_000
+SIZES = (4, 8, 12, 16, 20, 24)
+SLICE_WORDS = 500_000
 CHUNK = 16_384
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WEIGHTS = np.array([1, 2, 4, 4], np.int8)
@@ -115,10 +117,18 @@ def similarity(a: dict, b: dict) -> float:
     return both / (total - both) if total else 0.0
 
 
+def window(n: int) -> tuple[int, int]:
+    """Window size and grid of the texts' windows for an item of n words; what is too short for a grid takes every word."""
+    room = int(0.6 * n) - GRID + 1 if n < 35 else (n - GRID + 1) // 2
+    fit = [s for s in SIZES if s <= max(room, min(SIZES[0], n - GRID + 1))]
+    return (fit[-1], GRID) if fit else (n, 1)
+
+
 class Index:
     """Fingerprints of a benchmark slice by window size, with block tables, and its rare shingles by shingle size."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.8):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.8, exact: bool = True):
+        self.exact = exact  # False leaves fingerprints alone, to measure what they find
         split = [(i, [w.strip(MARKS) or w for w in _words(t)]) for i, t in items]
         split = [(i, w) for i, w in split if w]
         df = Counter(x for _, w in split for x in set(w))
@@ -129,32 +139,26 @@ class Index:
         self.ids = [i for i, _ in split]
         self.words = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for _, w in split]
         self.shingles = [_shingles(h) for h in self.words]
-        self.longest = max(map(len, self.words), default=0)
         found: dict[tuple[int, int], list] = {}
         for k, h in enumerate(self.words):
-            fit = [s for s in SIZES if s <= len(h) - GRID + 1]
-            size, grid = (fit[-1], GRID) if fit else (len(h), 1)
+            key = size, _ = window(len(h))
             sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(_signed(h), axis=0, dtype=np.int32)])
-            for o in range(grid):
-                found.setdefault((size, grid), []).append((_packed(sums[o + size : o + size + 1] - sums[o : o + 1])[0], k, o))
+            prints = _packed(sums[size:] - sums[:-size])
+            found.setdefault(key, []).append((prints, np.full(len(prints), k), np.arange(len(prints))))
+        self.prints = {key: tuple(map(np.concatenate, zip(*rows, strict=True))) for key, rows in found.items()}
+        self._tables()
+        self._probes(threshold)
+
+    def _tables(self) -> None:
+        """Of each window size and block: the fingerprints by the block's value, and where each value starts."""
         self.tables = {}
-        for key, rows in found.items():
-            prints = np.array([r[0] for r in rows], np.uint64)
-            gates = np.zeros((4, 1 << 16), bool)
-            for b in range(4):
-                v = (prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.intp)
-                gates[b, v] = True
-                for bit in range(16):
-                    gates[b, v ^ (1 << bit)] = True
+        for key, (prints, _, _) in self.prints.items():
+            parts = prints.view("<u2").reshape(-1, BLOCKS)
             blocks = []
-            for b in range(8):
-                v = (prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)
-                by = np.argsort(v, kind="stable")
-                count = np.bincount(v, minlength=256)
-                blocks.append((by, np.cumsum(count) - count, count))
-            self.tables[key] = (prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), blocks, gates)
-
-        self._probes(threshold)
+            for b in range(BLOCKS):
+                count = np.bincount(parts[:, b], minlength=1 << 16)
+                blocks.append((np.argsort(parts[:, b], kind="stable").astype(np.int32), (np.cumsum(count) - count).astype(np.int32), count.astype(np.int32)))
+            self.tables[key] = blocks
 
     def _probes(self, threshold: float) -> None:
         held = Counter(x for s in self.shingles for x in s)
@@ -178,45 +182,51 @@ class Index:
             self.probes[k] = keys, np.array([p[1] for p in pairs]), gate, shift
 
     def __reduce__(self) -> tuple:
-        state = {k: v for k, v in self.__dict__.items() if k != "known"}  # each worker fills its own
+        state = {k: v for k, v in self.__dict__.items() if k not in ("known", "tables")}  # each worker makes its own
         return _restored, (state,)
 
     def near(self, x: np.ndarray, key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (window, fingerprint) within RADIUS; they agree in a block, as RADIUS is below the number of blocks."""
-        prints, _, _, blocks, gates = self.tables[key]
-        parts = x.view("<u2").reshape(-1, 4)
-        which = np.flatnonzero(gates[0][parts[:, 0]] | gates[1][parts[:, 1]] | gates[2][parts[:, 2]] | gates[3][parts[:, 3]])
-        x = x[which]
+        prints = self.prints[key][0]
+        parts = x.view("<u2").reshape(-1, BLOCKS)
         out = []
-        for b, (by, start, count) in enumerate(blocks):
-            v = (x >> np.uint64(8 * b) & np.uint64(255)).astype(np.intp)
+        for b, (by, start, count) in enumerate(self.tables[key]):
+            which = np.flatnonzero(count[parts[:, b]])
+            v = parts[which, b]
             n = count[v]
-            if not n.any():
-                continue
-            w = np.repeat(np.arange(len(x)), n)
+            w = np.repeat(which, n)
             f = by[np.repeat(start[v] - np.cumsum(n) + n, n) + np.arange(len(w))]
             ok = np.bitwise_count(x[w] ^ prints[f]) <= RADIUS
-            if ok.any():
-                out.append(which[w[ok]] * len(prints) + f[ok])
-        pairs = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+            out.append(w[ok] * len(prints) + f[ok])
+        pairs = np.unique(np.concatenate(out))
         return pairs // len(prints), pairs % len(prints)
 
-    def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, the word where it would start) over a run of words."""
-        found: set[tuple[int, int]] = set()
-        if not len(h):
-            return found
+    def candidates(self, h: np.ndarray) -> np.ndarray:
+        """Rows (item, the word where it would start, the middle of the window that tells it) over a run of words."""
+        found = [np.empty((0, 3), np.int64)]
         signed = _signed(h)
         steps: dict[int, np.ndarray] = {}
-        for (size, grid), (_, item, offset, _, _) in self.tables.items():
+        for (size, grid), (_, item, offset) in self.prints.items():
             if grid not in steps:
                 rows = signed[: len(signed) // grid * grid].astype(np.int16)
                 steps[grid] = rows if grid == 1 else rows[0::4] + rows[1::4] + rows[2::4] + rows[3::4]
             wide = size // grid
             if len(steps[grid]) >= wide:
                 w, f = self.near(_packed(_sums(steps[grid], wide)), (size, grid))
-                found.update(zip(item[f].tolist(), (w * grid - offset[f]).tolist(), strict=True))
-        return found
+                found.append(np.stack([item[f], w * grid - offset[f], w * grid + size // 2], axis=1))
+        return np.concatenate(found)
+
+    def likely(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and last start) around the places that fingerprints tell."""
+        hits = []
+        for low in range(0, max(1, len(flat)), CHUNK):  # a longer text in pieces that overlap by a window and a grid step
+            rows = self.candidates(flat[low : low + CHUNK + SIZES[-1] + GRID])
+            hits.append(rows + np.array([0, low, low]))
+        rows = np.unique(np.concatenate(hits), axis=0)
+        text = np.searchsorted(ends, rows[:, 2], "right")
+        for t, i, a in np.unique(np.stack([text, rows[:, 0], rows[:, 1]], axis=1), axis=0).tolist():
+            slack = len(self.words[i]) // 8 + GRID
+            yield t, i, a - slack, a + slack
 
     def ranges(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first and last start) of the places whose windows hold a rare shingle of the item."""
@@ -234,20 +244,9 @@ class Index:
                 hits.append(np.stack([r[ok], item[ok], q[ok]]))
         if not hits:
             return
-        r, item, q = np.concatenate(hits, axis=1)
-        by = np.lexsort((q, item, r))
-        at = None
-        for t, i, p in zip(r[by].tolist(), item[by].tolist(), q[by].tolist(), strict=True):
+        for t, i, p in np.unique(np.concatenate(hits, axis=1).T, axis=0).tolist():
             n = len(self.words[i])
-            first = p - n + min(SHINGLE, n)
-            if at and at[:2] == (t, i) and first <= at[3] + 1:
-                at = (t, i, at[2], p)
-                continue
-            if at:
-                yield at
-            at = (t, i, first, p)
-        if at:
-            yield at
+            yield t, i, p - n + min(SHINGLE, n), p
 
     def best(self, item: int, flat: np.ndarray, first: int, end: int, low: int, high: int, threshold: float) -> tuple[float, int]:
         """Similarity and place of the best start from low to high in the text from first to end; (0, first) if all are below the threshold."""
@@ -301,23 +300,10 @@ class Index:
         flat = np.concatenate(runs)
         ends = np.cumsum([len(r) for r in runs])
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        seen: set[tuple[int, int]] = set()
-        for low in range(0, max(1, len(flat)), CHUNK):  # a longer text in pieces that overlap by an item and a grid step
-            for item, at in self.candidates(flat[low : low + CHUNK + self.longest + GRID]):
-                if (item, at + low) in seen:
-                    continue
-                seen.add((item, at + low))
-                n = len(self.words[item])
-                middle = min(max(0, at + low + n // 2), len(flat) - 1)
-                r = int(np.searchsorted(ends, middle, "right"))
-                first = int(ends[r]) - len(runs[r])
-                a, e = max(first, at + low), min(int(ends[r]), at + low + n)
-                if e > a:
-                    s = similarity(self.shingles[item], _shingles(flat[a:e]))
-                    if s >= threshold and ((r, item) not in best or (-s, a - first) < (-best[r, item][0], best[r, item][1])):
-                        best[r, item] = (s, a - first)
-        for r, item, low, high in self.ranges(flat, ends):
+        for r, item, low, high in joined(self.likely(flat, ends), self.ranges(flat, ends) if self.exact else ()):
             first = int(ends[r]) - len(runs[r])
+            n = len(self.words[item])
+            low, high = max(low, first - n + 1), min(high, int(ends[r]) - 1)
             s, a = self.best(item, flat, first, int(ends[r]), low, high, threshold)
             if s >= threshold and ((r, item) not in best or (-s, a - first) < (-best[r, item][0], best[r, item][1])):
                 best[r, item] = (s, a - first)
@@ -325,9 +311,24 @@ class Index:
             yield which[r], self.ids[item], a, s
 
 
+def joined(*found: Iterable[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges (text, item, first, last) that touch become one."""
+    at = None
+    for r in sorted(chain(*found)):
+        if at and at[:2] == r[:2] and r[2] <= at[3] + 1:
+            at = (*at[:3], max(at[3], r[3]))
+            continue
+        if at:
+            yield at
+        at = r
+    if at:
+        yield at
+
+
 def _restored(state: dict) -> Index:
     index = Index.__new__(Index)
     index.__dict__.update(state, known=_Hashes(state["classes"]))
+    index._tables()
     return index
 
 
