@@ -66,7 +66,73 @@ def test_html_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("start", ['<div class="content has-sidebar">', '<article class="post comments-open">', '<div id="page-with-menu">', '<div class="no-ads">', '<div class="layout--right-sidebar">', '<div class="social-history">', '<form id="aspnetForm">', "<div class=modal>"])
+def test_html_words_around_an_article_do_not_veto_it(start):
+    article = [f"Paragraph {i} is long, has commas, and goes on for quite a while, as they do in real life." for i in range(8)]
+    comments = "<section id=comments>" + "<p>I like this, a lot, really, it is so good.</p>" * 12 + "</section>"
+    side = "<div class=sidebar><p>Some, side, text, here, with, commas, and more</p></div>"
+    page = f"<body><nav><a href=a>x</a></nav>{start}{''.join(f'<p>{x}</p>' for x in article)}{side}</{start[1:].split()[0].rstrip('>')}>{comments}<footer>foot, note, text, and, commas</footer></body>"
+    assert html_text.main_text(page).split("\n") == article
+
+
+def best_of(tree):
+    """Text of the best container by the docstring's rules, ancestor by ancestor; trees of (tag, class, text or children) without links."""
+    nodes = []
+
+    def walk(node, path):
+        nodes.append((node, path))
+        if not isinstance(node[2], str):
+            for child in node[2]:
+                walk(child, [*path, node])
+
+    walk(tree, [])
+    texts = [(n, p) for n, p in nodes if isinstance(n[2], str)]
+    worth = {id(n): 0.0 if len(n[2]) < 25 and n[0] != "p" else 1 + n[2].count(",") + min(len(n[2]) / 100, 3) for n, _ in texts}
+    out = set()
+    live = lambda: [(n, p) for n, p in texts if not out.intersection(map(id, [*p, n]))]
+    inside = lambda n: sum(worth[id(t)] for t, p in live() if any(x is n for x in [*p, t]))
+    whole, clear = inside(tree), ("sidebar", "comments")
+    for names, spare, most in ((clear, html_text.SPARE, whole / (html_text.SPARE + 1)), (clear, html_text.SPARE, whole), (("social-history",), 1, whole)):
+        for n, _ in reversed(nodes):
+            if n[1] in names and inside(n) <= most and not inside(n) > spare * (inside(tree) - inside(n)) + 1e-9:
+                out.add(id(n))
+    points, size = Counter(), Counter()
+    for n, p in live():
+        first = [*p] if n[0] == "p" else [*p, n]
+        for x in [*p, n]:
+            size[id(x)] += len(n[2])
+        for k, x in enumerate(reversed(first)):
+            points[id(x)] += worth[id(n)] * html_text.DECAY**k
+    held = [(n, p) for n, p in nodes if size[id(n)]]
+    if not held:
+        return ""
+    best, path = max(reversed(held), key=lambda x: (round(points[id(x[0])], 9), size[id(x[0])]))
+    kept = {id(best)}
+    for n, p in held:
+        if p and path and p[-1] is path[-1] and n is not best and (points[id(n)] >= max(3, points[id(best)] / 5) or n[0] == "p" and size[id(n)] > 80):
+            kept.add(id(n))
+    return "\n".join(n[2] for n, p in live() if kept.intersection(map(id, [*p, n])))
+
+
+def test_html_against_brute_force():
+    rnd = random.Random(12)
+
+    def tree(depth):
+        kind = rnd.choice(["", "", "", "social-history", "sidebar", "comments"])
+        if depth == 0 or rnd.random() < 0.3:
+            return (rnd.choice(["p", "p", "div"]), kind if rnd.random() < 0.3 else "", " ".join(rnd.choice(["word", "text,", "other", "and"]) for _ in range(rnd.choice([1, 4, 12, 40]))))
+        return (rnd.choice(["div", "section"]), kind, [tree(depth - 1) for _ in range(rnd.randint(1, 4))])
+
+    def shown(n):
+        return f'<{n[0]} class="{n[1]}">' + (n[2] if isinstance(n[2], str) else "".join(map(shown, n[2]))) + f"</{n[0]}>"
+
+    for _ in range(300):
+        t = ("section", "", [tree(4) for _ in range(rnd.randint(1, 3))])
+        assert html_text.main_text(shown(t)) == best_of(t)
+
+
 def test_html_deep_and_long_pages():
+    assert html_text.main_text("<div class=no-ads><p>text, and more" * 20_000) == "\n".join(["text, and more"] * 20_000)
     assert html_text.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
     assert html_text.main_text('<a "' * 5000) is not None
     assert len(html_text.main_text("<article>" + "<p>Text, and more, of it.</p>" * 5000 + "</article>").split("\n")) == 5000
