@@ -496,6 +496,17 @@ def test_jaccard_every_link_is_counted(spark, odd_docs, no_docs):
     assert rows(jaccard_join.join_links(no_docs)[0]) == []
 
 
+def test_jaccard_pairs_of_one_hash_are_those_in_reach(spark):
+    """Against all pairs; texts whose shared part is too small meet nobody."""
+    rnd = random.Random(3)
+    rows_of = [(k, n := rnd.choice([5, 20, 100, 118, 130]), rnd.randint(0, n // 5), h) for h in (1, 2) for k in range(40)] + [(k, 100, 13, 3) for k in range(200)]
+    postings = spark.createDataFrame(rows_of, "sig bigint, n int, at int, hash bigint")
+    got = jaccard_join._all_pairs(postings, 17, 20).selectExpr("l.hash", "least(l.sig, r.sig)", "greatest(l.sig, r.sig)").collect()
+    fits = lambda x, y: 100 * min(x[1], y[1]) >= 85 * max(x[1], y[1]) and 37 * min(x[1] - x[2], y[1] - y[2]) >= 17 * (x[1] + y[1])
+    want = [(x[3], x[0], y[0]) for x in rows_of for y in rows_of if x[3] == y[3] and x[0] < y[0] and fits(x, y)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100 and all(h != 3 for h, _, _ in want)
+
+
 def test_jaccard_representatives(spark, odd_docs, no_docs):
     kept = jaccard_join.keep_representatives(odd_docs)
     assert kept.columns == odd_docs.columns

@@ -20,6 +20,7 @@ component; keep_representatives() lets them go together. Extra columns are dropp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, trimmed, written
@@ -250,13 +251,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs a < b of postings of one hash that pass the length and the positional filter."""
-    a, b = left.alias("l"), right.alias("r")
-    la, lb = F.col("l.n").cast("bigint"), F.col("r.n").cast("bigint")
+    return left.alias("l").join(right.alias("r"), F.col("l.hash") == F.col("r.hash")).where(_reach("l", "r", num, den))
+
+
+def _reach(l: str, r: str, num: int, den: int) -> Column:
+    la, lb = F.col(f"{l}.n").cast("bigint"), F.col(f"{r}.n").cast("bigint")
     needed = num * (la + lb)  # over (num + den)
     # of the pair's first common hash: all that may overlap is this hash and what follows it in both orders
-    room = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")).cast("bigint")
-    ok = (F.least(la, lb) * den >= F.greatest(la, lb) * num) & (room * (num + den) >= needed)
-    return a.join(b, F.col("l.hash") == F.col("r.hash")).where(ok)
+    room = F.least(F.col(f"{l}.n") - F.col(f"{l}.at"), F.col(f"{r}.n") - F.col(f"{r}.at")).cast("bigint")
+    return (F.least(la, lb) * den >= F.greatest(la, lb) * num) & (room * (num + den) >= needed)
+
+
+def _all_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (l, r) of postings of one hash, l the smaller text, that pass the length and the positional filter.
+
+    The room behind a posting bounds the size of its partners. The smaller text looks for them in bands of sizes up to its bound, and
+    not at all where the bound is below its own size; so texts that share a passage which is too small a part of them do not meet.
+    """
+    n = F.col("n").cast("bigint")
+    most = F.least(F.floor((n - F.col("at")) * (num + den) / num) - n, F.floor(n * den / num)).cast("bigint")
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / math.log(den / num)).cast("int")
+
+    seek = postings.withColumn("most", most).where(F.col("most") >= n).withColumn("band", F.explode(F.sequence(band(n), band(F.col("most"))))).drop("most")
+    own = postings.withColumn("band", band(n))
+    pairs = seek.alias("l").join(own.alias("r"), (F.col("l.hash") == F.col("r.hash")) & (F.col("l.band") == F.col("r.band")))
+    first = (F.col("l.n") < F.col("r.n")) | (F.col("l.n") == F.col("r.n")) & (F.col("l.sig") < F.col("r.sig"))
+    return pairs.where(first & _reach("l", "r", num, den))
 
 
 def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -289,14 +311,14 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), wh
     first = components(links)
     # round 2: what postings are left, of different components or all
     if whole:
-        rest = _pairs(postings, postings, num, den).where("l.sig < r.sig")
+        rest = _all_pairs(postings, num, den)
     else:
         named = postings.join(first.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", "at", "hash", F.coalesce("component", "sig").alias("c"))
         named = written(named, "jaccard-postings")
         mixed = named.groupBy("hash").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("hash")
         left = named.join(mixed, "hash", "left_semi")
-        rest = _pairs(left, left, num, den).where("l.c != r.c and l.sig < r.sig")
-    rest = rest.select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b")).distinct()
+        rest = _all_pairs(left, num, den).where("l.c != r.c")
+    rest = rest.select(F.least("l.sig", "r.sig").alias("a"), F.greatest("l.sig", "r.sig").alias("b")).distinct()
     rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     found = written(verify(rest), "jaccard-links", slim=True)
     every = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().union(found)
