@@ -252,3 +252,99 @@ def test_catalog(spark):
     made = catalog.frames(spark)
     assert {k: v.count() for k, v in made.items()} == {"pg_namespace": 2, "pg_class": 1, "pg_type": 28, "pg_attribute": 11}
     assert values(made["pg_namespace"].orderBy("oid")) == [(11000, "pg_catalog"), (11001, "public")]
+
+
+def test_windows_by_slices_match_whole_series(spark):
+    """Neighbours, moving and exponential averages over slices of any size, against one pass over each series; null keys are keys."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import ema, slices
+
+    rnd = random.Random(4)
+    rows = []
+    for key in ("a", None, "b"):
+        t = 0
+        for i in range(120):
+            t += rnd.choice([0, 1, 1, 7, 60])
+            rows.append((key, t, i, None if rnd.random() < 0.2 or key == "b" and i < 5 else rnd.random()))
+    df = spark.createDataFrame(rows, "k string, time bigint, seq bigint, value double").repartition(4)
+    by = {k: [r for r in rows if r[0] == k] for k in ("a", None, "b")}
+    for size in (5, 100, 100_000):
+        got = slices.neighbours(df, [slices.Neighbour(F.col("value"), "p"), slices.Neighbour(F.col("seq"), "p3", 3), slices.Neighbour(F.col("seq"), "n2", 2, True)], ["k"], ["time", "seq"], size)
+        want = [(*r, s[i - 1][3] if i else None, s[i - 3][2] if i >= 3 else None, s[i + 2][2] if i + 2 < len(s) else None) for s in by.values() for i, r in enumerate(s)]
+        assert sorted(map(tuple, got.select("k", "time", "seq", "value", "p", "p3", "n2").collect()), key=repr) == sorted(want, key=repr)
+        moved = {(r["k"], r["seq"]): r["m"] for r in slices.moving_average(df, F.col("value"), 30, "m", ["k"], "time", size).collect()}
+        for k, s in by.items():
+            for r in s:
+                near = [x[3] for x in s if r[1] - 30 < x[1] <= r[1] and x[3] is not None]
+                assert moved[k, r[2]] == (pytest.approx(sum(near) / len(near)) if near else None)
+        for alpha in (0.001, 0.3, 0.999, 1.0):
+            found = {(r["k"], r["seq"]): r["e"] for r in ema.ema(df, "value", alpha, ["k"], ["time", "seq"], "e", run=7, size=size).collect()}
+            assert len(found) == len(rows)
+            for k, s in by.items():
+                e = None
+                for r in s:
+                    e = e if r[3] is None else r[3] if e is None else alpha * r[3] + (1 - alpha) * e
+                    assert found[k, r[2]] == (None if e is None else pytest.approx(e))
+
+
+def test_no_task_sorts_a_whole_series(spark):
+    from tidemark.engine import Engine
+    from tidemark.plans.builder import explain
+    from tidemark.sources.points import FrameSource
+
+    df = frame(spark, [("m", i, float(i)) for i in range(10)])
+    for call in ("ema(value, 0, 0.5)", "lag(value)", "moving_avg(value, 60)", "rate(value)"):
+        plan = explain(Engine(spark, FrameSource(df)).query(f"select {call} as x from m where time >= 0"))
+        assert "_slot" in plan and ("SinglePartition" not in plan or call == "rate(value)")  # rate's own sum over all
+
+
+def test_as_of_with_null_keys(spark):
+    from tidemark.operators.align import as_of
+
+    schema = "k string, time bigint, value double, seq bigint"
+    left = spark.createDataFrame([(None, 95, 1.0, 0), ("a", 95, 1.0, 1)], schema)
+    right = spark.createDataFrame([(None, 12, 5.0, 0), ("a", 13, 6.0, 1)], schema)
+    got = as_of(left, right, ["k"], slice_seconds=10)
+    assert {(r["k"], r["right_time"]) for r in got.collect()} == {(None, 12), ("a", 13)}
+
+
+def test_store_is_whole_after_a_crash(spark, tmp_path, monkeypatch):
+    from tidemark.engine import Engine
+    from tidemark.plans.builder import PlanError
+    from tidemark.sources.storage import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.append(frame(spark, [("m", i * 3600, float(i)) for i in range(4)]))
+    engine = Engine(spark, store, store=store)
+    with pytest.raises(PlanError):
+        engine.query("insert into m values (1, 42, 'ok')")
+    recover, calls = Store.recover, []
+
+    def crash(self):
+        calls.append(1)
+        if len(calls) == 2:  # after the new partitions are listed
+            raise RuntimeError("lost")
+        return recover(self)
+
+    monkeypatch.setattr(Store, "recover", crash)
+    with pytest.raises(RuntimeError):
+        engine.query("delete from m where time >= 3600 and time < 7200")
+    monkeypatch.undo()
+    assert store.scan().count() == 4
+    store.recover()
+    assert sorted(r["time"] for r in store.scan().collect()) == [0, 7200, 10800]
+    extra = frame(spark, [("m", 5, 9.0)])
+    assert store.append_once(extra, "x", 7) and not store.append_once(extra, "x", 7)
+    store.append(frame(spark, [("x", 0, 0.0), ("m", 5, 10.0)]))
+    store.compact()
+    before = {f for _, _, files in store.partitions() for f in files}
+    assert [r["value"] for r in store.scan().where("time = 5").collect()] == [10.0]
+    store.compact()  # nothing to do: no file changes
+    assert before == {f for _, _, files in store.partitions() for f in files}
+    store.roll_up()
+    assert sorted(store.rollups().tables) == [60, 3600]
+    store.append(extra)
+    assert not store.rollups().tables

@@ -31,10 +31,13 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str] | None = None, slice_
     b = r.select(*by, "_slot", "time", F.lit(0).alias("_side"), "_p", F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
     w = Window.partitionBy(*by, "_slot").orderBy("time", "_side", F.col("_p.seq")).rowsBetween(Window.unboundedPreceding, 0)
     merged = a.unionByName(b).withColumn("_near", F.last("_p", ignorenulls=True).over(w)).where("_side = 1")
-    # one row for each slice: its last point, carried over the slices after it
-    ends = a.select(*by, "_slot").unionByName(b.select(*by, "_slot")).distinct().join(r.groupBy(*by, "_slot").agg(F.max("_p").alias("_end")), [*by, "_slot"], "left")
+    # one row for each slice: its last point, carried over the slices after it; null keys are keys
+    ends = a.unionByName(b).groupBy(*by, "_slot").agg(F.max("_p").alias("_end"))
     past = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("_old", F.last("_end", ignorenulls=True).over(past)).drop("_end")
-    out = merged.join(carried, [*by, "_slot"], "left").withColumn("_hit", F.coalesce("_near", "_old"))
+    carried = ends.select(*[F.col(c).alias(f"_by{n}") for n, c in enumerate(by)], F.col("_slot").alias("_at"), F.last("_end", ignorenulls=True).over(past).alias("_old"))
+    on = F.col("_slot") == F.col("_at")
+    for n, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{n}"))
+    out = merged.join(carried, on, "left").withColumn("_hit", F.coalesce("_near", "_old"))
     hit = F.col("_hit") if tolerance is None else F.when(F.col("time") - F.col("_hit.time") <= tolerance, F.col("_hit"))
     return out.select("_row.*", hit["time"].alias("right_time"), hit["value"].alias("right_value"))

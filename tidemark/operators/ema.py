@@ -1,42 +1,74 @@
 """Exponential moving averages over series of any length.
 
-e0 = v0, e_i = alpha * v_i + (1 - alpha) * e_(i-1). Over a run of points the step from the value before the run to the one at its
-end is a * e + b; so runs of a bounded number of points are folded where they are, the runs' (a, b) are scanned, and each run is
-folded once more from its true start. No task gathers a series; only one pair of numbers for each run of `RUN` points.
+e0 = v0, e_i = alpha * v_i + q * e_(i-1), q = 1 - alpha. Points are cut into slices of time, and within a slice into runs of at most
+`RUN` values, so short that 1 / q^RUN stays a number. Within a run e_i = q^(i+1) * e + q^i * sum(alpha * v_j / q^j), a running sum, where
+e is the average before the run. A run as a whole takes e to a * e + b; these pairs, one for each run, are scanned in order in one
+pass, and joined back. No task sorts or gathers a series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import SLICE, slot
+
 RUN = 1_000
 
 
-def ema(df: DataFrame, value: str, alpha: float, keys: list[str], order: list[str], out: str, run: int = RUN) -> DataFrame:
-    """df with the average in `out`; null values are skipped and carry the average on."""
+def ema(df: DataFrame, value: str, alpha: float, keys: list[str], order: list[str], out: str, run: int = RUN, size: int = SLICE) -> DataFrame:
+    """df with the average in `out`; null values are skipped and carry the average on. The first of `order` is a time."""
     q = 1.0 - alpha
-    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn("_run", F.floor(F.col("_n") / run))
-    rest = [c for c in df.columns if c not in keys]
-    runs = numbered.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("_n", F.col(value).cast("double").alias("_v"), F.struct(*rest).alias("_row"))), lambda a, b: a["_n"] - b["_n"]).alias("_points"))
-
-    def fold(start: Column) -> Column:
-        return F.aggregate("_points", start, lambda e, p: F.when(p["_v"].isNull(), e).when(e.isNull(), p["_v"]).otherwise(alpha * p["_v"] + q * e))
-
-    held = F.size(F.filter("_points", lambda p: p["_v"].isNotNull()))
-    null = F.lit(None).cast("double")
-    ends = runs.select(*keys, "_run", held.alias("_held"), F.when(F.col("_run") == 0, fold(null)).otherwise(fold(F.lit(0.0))).alias("_b"), fold(null).alias("_first"))
-    listed = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_run", "_held", "_b", "_first"))).alias("_runs"))
-    # the average before each run, from the runs before it
-    start = F.struct(null.alias("e"), F.array().cast("array<double>").alias("all"))
-    after = lambda e, r: F.when(r["_held"] == 0, e).when(e.isNull(), r["_first"]).otherwise(F.pow(F.lit(q), r["_held"]) * e + r["_b"])
-    scanned = listed.select(*keys, F.posexplode(F.aggregate("_runs", start, lambda s, r: F.struct(after(s["e"], r).alias("e"), F.concat(s["all"], F.array(s["e"])).alias("all")))["all"]).alias("_k", "_e"))
-    left, right = runs, scanned.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_k").cast("bigint").alias("_k"), "_e")
-    on = left["_run"] == right["_k"]
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[f"_s_{k}"])
-    first = F.struct(F.col("_e").alias("e"), F.array().cast("array<double>").alias("all"))
-    step = lambda e, p: F.when(p["_v"].isNull(), e).when(e.isNull(), p["_v"]).otherwise(alpha * p["_v"] + q * e)
-    each = F.aggregate("_points", first, lambda s, p: F.struct(step(s["e"], p).alias("e"), F.concat(s["all"], F.array(step(s["e"], p))).alias("all")))["all"]
-    done = left.join(right, on).select(*[left[k] for k in keys], F.explode(F.arrays_zip("_points", each.alias("_all"))).alias("_z"))
-    return done.select(*[F.col(c) if c in keys else F.col(f"_z._points._row.{c}").alias(c) for c in df.columns], F.col("_z._all").alias(out))
+    if q <= 0:
+        run = 1
+    elif q < 1:
+        run = max(1, min(run, int(200 / -math.log10(q))))
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col(value).cast("double")
+    df0 = df.withColumn("_slot", slot(order[0], size)).withColumn("_held", F.count(v).over(inside))
+    # rows before a slice's first value belong to a run of their own, -1
+    df0 = df0.withColumn("_run", F.floor((F.col("_held") - 1) / run)).withColumn("_i", F.when(F.col("_held") > 0, (F.col("_held") - 1) % run).otherwise(-1))
+    within = Window.partitionBy(*keys, "_slot", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    term = alpha * v * F.pow(F.lit(q), -F.col("_i")) if q > 0 else alpha * v
+    rows = df0.withColumn("_sum", F.coalesce(F.sum(term).over(within), F.lit(0.0)))
+    scale = F.pow(F.lit(q), F.col("_i")) if q > 0 else F.lit(1.0)
+    first = F.min_by(v, F.when(v.isNotNull(), F.struct(*order)))
+    runs = rows.groupBy(*keys, "_slot", "_run").agg(F.max("_i").alias("_last"), first.alias("_first"), F.max_by(scale * F.col("_sum"), F.struct(*order)).alias("_b"))
+    runs = runs.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_slot", "_run", "_first", F.pow(F.lit(q), F.col("_last") + 1).alias("_a"), "_b")
+    names = [f"_k{n}" for n in range(len(keys))]
+    spread = runs.repartition(*names) if names else runs.repartition(1)
+    spread = spread.sortWithinPartitions(*names, "_slot", "_run")
+    carried = spread.mapInArrow(_scan(len(names)), spread.select(*names, "_slot", "_run", F.col("_b").alias("_before")).schema)
+    on = (F.col("r._slot") == F.col("c._slot")) & (F.col("r._run") == F.col("c._run"))
+    for n, k in enumerate(keys):
+        on = on & F.col(f"r.`{k}`").eqNullSafe(F.col(f"c._k{n}"))
+    both = rows.alias("r").join(carried.alias("c"), on)
+    e = F.when(F.col("_i") < 0, F.col("_before")).otherwise(F.pow(F.lit(q), F.col("_i") + 1) * F.col("_before") + scale * F.col("_sum"))
+    return both.select(*[F.col(f"r.`{c}`").alias(c) for c in df.columns], e.alias(out))
+
+
+def _scan(n: int):
+    """Of each run, the average before it; the first value of a key stands for it before its first run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, e = None, None
+        for batch in batches:
+            before = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True) if n else ((),) * batch.num_rows
+            for key, number, first, a, b in zip(keys, *(batch.column(c).to_pylist() for c in ("_run", "_first", "_a", "_b")), strict=True):
+                if key != at or at is None:
+                    at, e = key, None
+                if number < 0:
+                    before.append(e)
+                    continue
+                e = first if e is None else e
+                before.append(e)
+                e = a * e + b
+            kept = [batch.column(i) for i in range(n)] + [batch.column("_slot"), batch.column("_run"), pa.array(before, pa.float64())]
+            yield pa.record_batch(kept, names=[*batch.schema.names[:n], "_slot", "_run", "_before"])
+
+    return run

@@ -12,6 +12,7 @@ from ..functions import aggregates, scalars
 from ..functions.registry import AGGREGATES, PAIRED, WINDOWS
 from ..operators import ema as ema_operator
 from ..operators import fill as fill_operator
+from ..operators import slices
 from ..sources.points import Bounds, PointSource
 from ..sources.series import signed
 from .checks import buckets, calls, type_of
@@ -185,14 +186,8 @@ class Scope:
         if self.over is None:
             raise PlanError(f"{name} is not possible here")
         x = self.column(args[0])
-        if name in ("lag", "lead"):
-            n = constant(args[1]) if len(args) > 1 else 1
-            return (F.lag if name == "lag" else F.lead)(x, n).over(self.over)
         if name == "fill_forward":
             return F.last(x, ignorenulls=True).over(self.over.rowsBetween(Window.unboundedPreceding, 0))
-        if name == "moving_avg":
-            # the half-open range (t - span, t], which only the time orders
-            return F.avg(scalars.number(x)).over(self.names["_range"].rangeBetween(-(int(constant(args[1])) - 1), 0))
         raise PlanError(f"{name} is not possible here")
 
 
@@ -232,7 +227,7 @@ class Planner:
             df, scope = self.aggregate(s, points, scope)
         else:
             by = Window.partitionBy("series_id")
-            df, scope = points, replace(scope, over=by.orderBy("time", "seq"), names={**scope.names, "_range": by.orderBy("time")}) if s.selector is not None else scope
+            df, scope = points, replace(scope, over=by.orderBy("time", "seq")) if s.selector is not None else scope
         df, scope = self.averages(s, df, scope, grouped)
         out = [(column_name(i, n), i.expr) for n, i in enumerate(s.items)]
         # a tie of names gets its position, so that no column hides another
@@ -252,20 +247,37 @@ class Planner:
         return df if s.limit is None else df.limit(s.limit)
 
     def averages(self, s: Select, df: DataFrame, scope: Scope, grouped: bool) -> tuple[DataFrame, Scope]:
-        """ema is no window frame: it becomes a column before the projection."""
-        found = {_folded(c): c for i in s.items for c in calls(i.expr, frozenset(("ema",)))}
+        """Windows over long series become columns before the projection, slice by slice (see operators.slices and operators.ema)."""
+        wanted = list({_folded(c): c for e in (*[i.expr for i in s.items], *[o.expr for o in s.order]) for c in calls(e, frozenset(("ema", "lag", "lead", "moving_avg")))}.values())
         known = list(scope.known)
-        for n, c in enumerate(found.values()):
-            step, alpha = constant(c.args[1]), float(constant(c.args[2]))
-            df = df.withColumn(f"_ema_in{n}", scalars.number(scope.column(c.args[0])))
-            if grouped:
-                keys = [k for k in df.columns if k.startswith("_key") and k != scope.order]
-                df = ema_operator.ema(df, f"_ema_in{n}", alpha, keys, [scope.order], f"_ema{n}")
-            elif step == 0:
-                df = ema_operator.ema(df, f"_ema_in{n}", alpha, ["series_id"], ["time", "seq"], f"_ema{n}")
-            else:
-                raise PlanError("ema with a step needs group by time_bucket of that step; step 0 takes raw points")
-            known.append((c, F.col(f"_ema{n}")))
+        if not wanted:
+            return df, scope
+        if grouped:
+            by, order = [k for k in df.columns if k.startswith("_key") and k != scope.order], [scope.order]
+            size = int(constant(buckets(s)[0].args[0])) * slices.SLICE if buckets(s) else slices.SLICE
+        else:
+            by, order, size = ["series_id"], ["time", "seq"], slices.SLICE
+        near = []
+        for n, c in enumerate(wanted):
+            if scope.over is None:
+                raise PlanError(f"{c.name.lower()} is not possible here")
+            x = scope.column(c.args[0])
+            match c.name.lower():
+                case "ema":
+                    step, alpha = constant(c.args[1]), float(constant(c.args[2]))
+                    if not grouped and step != 0:
+                        raise PlanError("ema with a step needs group by time_bucket of that step; step 0 takes raw points")
+                    df = ema_operator.ema(df.withColumn(f"_ema_in{n}", scalars.number(x)), f"_ema_in{n}", alpha, by, order, f"_win{n}", size=size)
+                case "moving_avg":
+                    df = slices.moving_average(df, scalars.number(x), int(constant(c.args[1])), f"_win{n}", by, order[0], size)
+                case name:
+                    far = int(constant(c.args[1])) if len(c.args) > 1 else 1
+                    if far < 0:
+                        name, far = "lead" if name == "lag" else "lag", -far
+                    near.append(slices.Neighbour(x, f"_win{n}", far, name == "lead"))
+            known.append((c, F.col(f"_win{n}")))
+        if near:
+            df = slices.neighbours(df, near, by, order, size)
         return df, replace(scope, known=known)
 
     def aggregate(self, s: Select, points: DataFrame, scope: Scope) -> tuple[DataFrame, Scope]:
@@ -274,8 +286,8 @@ class Planner:
         wanted = [c for e in (*[i.expr for i in s.items], *[o.expr for o in s.order]) for c in calls(e, AGGREGATES)]
         paired = {_folded(c.args[0]): c.args[0] for c in wanted if c.name.lower() in PAIRED}
         if paired:
-            w = Window.partitionBy("series_id", *keys).orderBy("time", "seq")
-            df = df.withColumns({f"_was{n}": F.lag(scalars.number(scope.column(e))).over(w) for n, e in enumerate(paired.values())} | {"_was_time": F.lag("time").over(w)})
+            found = [slices.Neighbour(scalars.number(scope.column(e)), f"_was{n}") for n, e in enumerate(paired.values())] + [slices.Neighbour(F.col("time"), "_was_time")]
+            df = slices.neighbours(df, found, ["series_id", *keys], ["time", "seq"])
             scope = replace(scope, before={e: {"value": F.col(f"_was{n}"), "time": F.col("_was_time")} for n, e in enumerate(paired.values())})
         distinct = list({_folded(c): c for c in wanted}.values())
         found = [scope.column(c).alias(f"_agg{n}") for n, c in enumerate(distinct)]
@@ -296,7 +308,7 @@ class Planner:
         scope = Scope(known=known, order=bucket or "_rows")
         if bucket:
             by = Window.partitionBy(*others)
-            scope = replace(scope, over=by.orderBy(bucket), names={"_range": by.orderBy(bucket)})
+            scope = replace(scope, over=by.orderBy(bucket))
         return made, scope
 
 

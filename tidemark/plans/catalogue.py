@@ -8,16 +8,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..operators.align import align, as_of
-from ..sources import catalog, ndjson, points, storage
+from ..sources import binary, catalog, ndjson, points, storage, text
 from ..sources.points import Bounds, in_range
 from ..sources.series import series_id, unsigned
+from ..sources.shared import shared_dir
 from ..streaming import ingest
 from . import rollup
+from .checks import CheckError
+from .language import LanguageError
 from .translate import translate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +41,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def add(name: str, query: str | Query, sql: str | None) -> None:
     if isinstance(query, str):
-        text = query
-        QUERIES[name] = lambda spark, sf_dir: rounded(Engine(spark, points.tables(spark, sf_dir)).query(text))
+        QUERIES[name] = lambda spark, sf_dir: rounded(Engine(spark, points.tables(spark, sf_dir)).query(query))
     else:
         QUERIES[name] = query
     if sql is not None:
@@ -49,8 +51,8 @@ def add(name: str, query: str | Query, sql: str | None) -> None:
 # -- scans, projection, filters
 add(
     "flagship_hourly",
-    f"select time_bucket(3600, time) as bucket, avg(value) as v, count() as n from events.click where {WEEK} group by time_bucket(3600, time) order by bucket limit 24",
-    E + f"SELECT time - time % 3600 AS bucket, round(avg(value), 6) AS v, count(*) AS n FROM c WHERE {WEEK} GROUP BY 1 ORDER BY 1 LIMIT 24",
+    f"select time_bucket(3600, time) as bucket, avg(value) as v, count() as n from events.click where time >= 0 group by time_bucket(3600, time) order by bucket",
+    E + "SELECT time - time % 3600 AS bucket, round(avg(value), 6) AS v, count(*) AS n FROM c GROUP BY 1 ORDER BY 1",
 )
 add("scan_range", f"select time, value from events.click where {WEEK}", E + f"SELECT time, round(value, 6) AS value FROM c WHERE {WEEK}")
 add("scan_by_id", f"select time, value from by_id({series_id('events.click') & (1 << 64) - 1}) where {WEEK}", E + f"SELECT time, round(value, 6) AS value FROM c WHERE {WEEK}")
@@ -71,12 +73,12 @@ add(
     E + "SELECT time, round(abs(value - 50), 6) AS a, CAST(ceil(value) AS DOUBLE) AS b, CAST(floor(value) AS DOUBLE) AS c, round(value) AS d, round(pow(value, 2), 6) AS e, round(ln(value + 1), 6) AS f, round(sqrt(value), 6) AS g FROM c",
 )
 add("coalesce_tag", "select time, coalesce(tag.none, tag.k, 'x') as k from events.click where time >= 0", E + "SELECT time, coalesce(k, 'x') AS k FROM c")
-add("column_names", f"select time_bucket(86400, time), avg(value), count() from events.click where {WEEK} group by time_bucket(86400, time)", E + f"SELECT time - time % 86400 AS time_bucket_0, round(avg(value), 6) AS avg_1, count(*) AS count_2 FROM c WHERE {WEEK} GROUP BY 1")
+add("column_names", f"select time_bucket(86400, time), avg(value), count() from events.click where time >= 0 group by time_bucket(86400, time)", E + f"SELECT time - time % 86400 AS time_bucket_0, round(avg(value), 6) AS avg_1, count(*) AS count_2 FROM c GROUP BY 1")
 
 # -- aggregates
-add("agg_global", f"select avg(value) as a, sum(value) as s, count() as n, count(value) as m from events.click where {WEEK}", E + f"SELECT round(avg(value), 6) AS a, round(sum(value), 6) AS s, count(*) AS n, count(value) AS m FROM c WHERE {WEEK}")
+add("agg_global", f"select avg(value) as a, sum(value) as s, count() as n, count(value) as m from events.click where time >= 0", E + f"SELECT round(avg(value), 6) AS a, round(sum(value), 6) AS s, count(*) AS n, count(value) AS m FROM c")
 add("agg_global_empty", "select avg(value) as a, count() as n from events.click where time < 0", E + "SELECT avg(value) AS a, count(*) AS n FROM c WHERE time < 0 HAVING count(*) > 0")
-add("agg_expression", f"select sum(value) / count() * 2 as x, max(value) - min(value) as spread from events.click where {WEEK}", E + f"SELECT round(sum(value) / count(*) * 2, 6) AS x, round(max(value) - min(value), 6) AS spread FROM c WHERE {WEEK}")
+add("agg_expression", f"select sum(value) / count() * 2 as x, max(value) - min(value) as spread from events.click where time >= 0", E + f"SELECT round(sum(value) / count(*) * 2, 6) AS x, round(max(value) - min(value), 6) AS spread FROM c")
 add("agg_group_tag", "select tag.user as u, count() as n, avg(value) as a from events.click where time >= 0 group by tag.user", E + "SELECT user_tag AS u, count(*) AS n, round(avg(value), 6) AS a FROM c GROUP BY 1")
 add("agg_bucket", "select time_bucket(60, time) as b, avg(value) as a, count() as n from events.click where time >= 0 group by time_bucket(60, time)", E + "SELECT time - time % 60 AS b, round(avg(value), 6) AS a, count(*) AS n FROM c GROUP BY 1")
 add("agg_bucket_tag", "select time_bucket(1d, time) as b, tag.k as k, sum(value) as s from events.view where time >= 0 group by time_bucket(1d, time), tag.k", E + "SELECT time - time % 86400 AS b, k, round(sum(value), 6) AS s FROM p WHERE series = 'events.view' GROUP BY 1, 2")
@@ -115,14 +117,14 @@ add(
     "select time_bucket(3600, time) as b, ema(avg(value), 3600, 0.5) as e from events.click where time >= 0 group by time_bucket(3600, time)",
     E.replace("WITH", "WITH RECURSIVE") + ", a AS (SELECT time - time % 3600 AS b, avg(value) AS v FROM c GROUP BY 1), n AS (SELECT b, v, row_number() OVER (ORDER BY b) AS i FROM a), r AS (SELECT i, b, v AS e FROM n WHERE i = 1 UNION ALL SELECT n.i, n.b, 0.5 * n.v + 0.5 * r.e FROM r JOIN n ON n.i = r.i + 1) " + EMA.format(t="b"),
 )
-add("fill_forward", f"select time_bucket(600, time) as b, avg(value) as a, fill_forward(avg(value)) as f from events.click where {WEEK} group by time_bucket(600, time) fill(null)", None)
+add("fill_forward", f"select time_bucket(600, time) as b, avg(value) as a, fill_forward(avg(value)) as f from events.click where time >= 0 group by time_bucket(600, time) fill(null)", None)
 
 # -- gap filling
 GRID = (
     E
-    + f", a AS (SELECT time - time % 600 AS b, avg(value) AS v FROM c WHERE {WEEK} GROUP BY 1), g AS (SELECT unnest(generate_series((SELECT min(b) FROM a), (SELECT max(b) FROM a), 600)) AS b), j AS (SELECT g.b, a.v FROM g LEFT JOIN a USING (b))"
+    + f", a AS (SELECT time - time % 600 AS b, avg(value) AS v FROM c GROUP BY 1), g AS (SELECT unnest(generate_series((SELECT min(b) FROM a), (SELECT max(b) FROM a), 600)) AS b), j AS (SELECT g.b, a.v FROM g LEFT JOIN a USING (b))"
 )
-FILLED = f"select time_bucket(600, time) as b, avg(value) as v from events.click where {WEEK} group by time_bucket(600, time) "
+FILLED = "select time_bucket(600, time) as b, avg(value) as v from events.click where time >= 0 group by time_bucket(600, time) "
 ORACLE_SQL["fill_forward"] = GRID + " SELECT b, round(v, 6) AS a, round(last_value(v IGNORE NULLS) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS f FROM j"
 add("fill_null", FILLED + "fill(null)", GRID + " SELECT b, round(v, 6) AS v FROM j")
 add("fill_previous", FILLED + "fill(previous)", GRID + " SELECT b, round(last_value(v IGNORE NULLS) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS v FROM j")
@@ -146,7 +148,7 @@ add(
 add("order_nulls", "select time, lag(value) as l from events.signup where time >= 0 order by l, time limit 5", E + "SELECT time, round(l, 6) AS l FROM (SELECT time, lag(value) OVER (ORDER BY time, seq) AS l FROM p WHERE series = 'events.signup') ORDER BY l ASC NULLS FIRST, time LIMIT 5")
 add("topn", "select time, value, tag.user as u from events.click where time >= 0 order by value desc, time, u limit 10", E + "SELECT time, round(value, 6) AS value, user_tag AS u FROM c ORDER BY value DESC, time, user_tag LIMIT 10")
 add("topn_offset", "select time, value, tag.user as u from events.click where time >= 0 order by value desc, time, u limit 10 offset 5", E + "SELECT time, round(value, 6) AS value, user_tag AS u FROM c ORDER BY value DESC, time, user_tag LIMIT 10 OFFSET 5")
-add("order_hidden", f"select value from events.click where {WEEK} order by time, value limit 20", E + f"SELECT round(value, 6) AS value FROM c WHERE {WEEK} ORDER BY time, value LIMIT 20")
+add("order_hidden", f"select value from events.click where time >= 0 order by time, value limit 20", E + f"SELECT round(value, 6) AS value FROM c ORDER BY time, value LIMIT 20")
 
 # -- other tables as series
 add(
@@ -192,31 +194,29 @@ add(
 
 def _stored(spark: SparkSession, sf_dir: str) -> storage.Store:
     """A fresh store that holds the events."""
-    from pyspark.errors import PySparkException
-
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except PySparkException:
-        root = None
-    import tempfile
-
-    store = storage.Store(spark, f"{root or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/store-{uuid.uuid4().hex}")
-    store.append(_events(spark, sf_dir).where(F.col("time") < HI))
+    store = storage.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(_events(spark, sf_dir))
     return store
 
 
-def _after(text: str) -> Query:
+def _after(*texts: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = _stored(spark, sf_dir)
         engine = Engine(spark, store, store=store)
-        engine.query(text)
-        return rounded(engine.query(f"select series, time, value from events.click where time >= 0 and time < {HI + 10}"))
+        for text in texts:
+            engine.query(text)
+        return rounded(engine.query("select series, time, value from events.click where time >= 0"))
 
     return run
 
 
-add("delete_range", _after(f"delete from events.click where time >= {LO} and time < {LO + 300000} and value > 20"), E + f"SELECT series, time, round(value, 6) AS value FROM c WHERE time < {HI} AND NOT (time < {LO + 300000} AND value > 20)")
-add("insert_row", _after(f"insert into events.click (time, value) values ({HI} + 5, 42.5)"), E + f"SELECT series, time, round(value, 6) AS value FROM c WHERE time < {HI} UNION ALL SELECT 'events.click', {HI + 5}, 42.5")
+add("delete_range", _after(f"delete from events.click where time >= {LO} and time < {LO + 300000} and value > 20"), E + f"SELECT series, time, round(value, 6) AS value FROM c WHERE NOT (time >= {LO} AND time < {LO + 300000} AND value > 20)")
+add("insert_row", _after(f"insert into events.click (time, value) values ({HI} + 5, 42.5)"), E + f"SELECT series, time, round(value, 6) AS value FROM c UNION ALL SELECT 'events.click', {HI + 5}, 42.5")
+add(
+    "translated_writes",
+    _after(translate(f"INSERT INTO events.click (time, value) VALUES ({HI + 7}, 7.25);").text, translate(f"DELETE FROM events.click WHERE time < {LO + 100000};").text),
+    E + f"SELECT series, time, round(value, 6) AS value FROM c WHERE time >= {LO + 100000} UNION ALL SELECT 'events.click', {HI + 7}, 7.25",
+)
 
 
 def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +229,7 @@ def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "store_compact",
     _compacted,
-    E + f", b AS (SELECT * FROM p WHERE time < {HI} UNION ALL SELECT event_type, series, time, value + 1000, seq + 10000000, user_tag, k FROM p WHERE time <= {LO + 7200}) SELECT series, time, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series, time ORDER BY seq DESC) AS n FROM b) WHERE n = 1",
+    E + f", b AS (SELECT * FROM p UNION ALL SELECT event_type, series, time, value + 1000, seq + 10000000, user_tag, k FROM p WHERE time <= {LO + 7200}) SELECT series, time, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series, time ORDER BY seq DESC) AS n FROM b) WHERE n = 1",
 )
 
 
@@ -241,9 +241,105 @@ def _rollups(spark: SparkSession, sf_dir: str) -> rollup.Rollups:
 add("rollup_1h_from_1m", lambda s, d: rounded(_rollups(s, d).tables[3600].select("series", "bucket", "sum", "n", "min", "max")), E + "SELECT series, time - time % 3600 AS bucket, round(sum(value), 6) AS sum, count(*) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max FROM p GROUP BY 1, 2")
 add(
     "rollup_planned",
-    lambda s, d: rounded(Engine(s, points.tables(s, d), _rollups(s, d)).query(f"select time_bucket(7200, time) as b, avg(value) as a, max(value) - min(value) as r, count() as n from events.click where {WEEK} group by time_bucket(7200, time)")),
-    E + f"SELECT time - time % 7200 AS b, round(avg(value), 6) AS a, round(max(value) - min(value), 6) AS r, count(*) AS n FROM c WHERE {WEEK} GROUP BY 1",
+    lambda s, d: rounded(Engine(s, points.tables(s, d), _rollups(s, d)).query(f"select time_bucket(7200, time) as b, avg(value) as a, max(value) - min(value) as r, count() as n from events.click where time >= 0 group by time_bucket(7200, time)")),
+    E + f"SELECT time - time % 7200 AS b, round(avg(value), 6) AS a, round(max(value) - min(value), 6) AS r, count(*) AS n FROM c GROUP BY 1",
 )
+NULLS = E.replace("value, event_id", "CASE WHEN event_id % 3 > 0 THEN value END AS value, event_id")
+
+
+def _with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("value", F.when(F.col("seq") % 3 > 0, F.col("value")))
+
+
+def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups that the store holds, over points some of which have no value."""
+    store = storage.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(_with_nulls(spark, sf_dir))
+    store.roll_up()
+    made = store.rollups()
+    df = Engine(spark, store, made).query("select time_bucket(7200, time) as b, avg(value) as a, max(value) - min(value) as r, count() as n, count(value) as m from events.click where time >= 0 group by time_bucket(7200, time)")
+    assert made.used == 3600
+    return rounded(df)
+
+
+add("rollup_nulls", _rolled, NULLS + "SELECT time - time % 7200 AS b, round(avg(value), 6) AS a, round(max(value) - min(value), 6) AS r, count(*) AS n, count(value) AS m FROM c GROUP BY 1")
+
+
+def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    store.snapshot(f"{store.root}/snapshot")
+    store.delete_where(F.lit(True), F.col("time") < LO + 900_000)
+    store.restore(f"{store.root}/snapshot")
+    return rounded(store.scan().select("series", "time", "value"))
+
+
+add("snapshot_restore", _restored, E + "SELECT series, time, round(value, 6) AS value FROM p")
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _stored(spark, sf_dir).stats()
+    return spark.createDataFrame([(found["points"], found["series"], found["partitions"], found["files"] >= found["partitions"])], "points bigint, series bigint, partitions bigint, filed boolean")
+
+
+add("store_stats", _counted, E + "SELECT count(*) AS points, count(DISTINCT series) AS series, count(DISTINCT time - time % 3600) AS partitions, true AS filed FROM p")
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    store.append(_events(spark, sf_dir).withColumn("series", F.concat(F.lit("old."), F.col("series"))))
+    store.retain(1706700000, 7, {"old": 21})
+    return rounded(store.scan().select("series", "time", "value"))
+
+
+KEPT = "(SELECT *, 1706700000 - max(time) OVER (PARTITION BY time - time % 3600) AS age FROM p)"
+add("store_retain", _kept, E + f"SELECT series, time, round(value, 6) AS value FROM {KEPT} WHERE age <= 7 * 86400 UNION ALL SELECT 'old.' || series, time, round(value, 6) FROM {KEPT} WHERE age <= 21 * 86400")
+
+
+def _folder(spark: SparkSession, df: DataFrame, suffix: str) -> str:
+    """A folder of files with the rows' content, written by the tasks."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    df.select(F.hex("content").alias("value")).write.text(f"{root}/raw")
+    rows = spark.read.text(f"{root}/raw")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+    for n, r in enumerate(rows.toLocalIterator()):  # files of an export, one at a time
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/in/{n:06d}{suffix}"), True)
+        out.write(bytes.fromhex(r["value"]))
+        out.close()
+    return f"{root}/in"
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points as segments of a series and hour, and read back."""
+    path = _folder(spark, binary.encoded_segments(_events(spark, sf_dir)), ".seg")
+    return rounded(binary.read_segments(spark, path).select("series_id", "time", "value"))
+
+
+IDS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {series_id(f'events.{k}')}" for k in ("click", "error", "purchase", "signup", "view")) + " END"
+add("segment_round_trip", _segments, E + f"SELECT CAST({IDS} AS BIGINT) AS series_id, time, round(value, 6) AS value FROM p")
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points as logs, one for each day, and replayed."""
+
+    def run(pdf):
+        rows = [(int(i) & (1 << 64) - 1, int(t), float(v)) for i, t, v in zip(pdf["series_id"], pdf["time"], pdf["value"], strict=True)]
+        return pdf.iloc[:1][["day"]].assign(content=[binary.encode_log(rows)])
+
+    logs = _events(spark, sf_dir).withColumn("day", F.floor(F.col("time") / 86400)).groupBy("day").applyInPandas(run, "day bigint, content binary")
+    return rounded(binary.read_logs(spark, _folder(spark, logs, ".wal")).select("series_id", "time", "value"))
+
+
+add("log_replay", _logged, ORACLE_SQL["segment_round_trip"])
+
+
+def _from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    text.write_result(_events(spark, sf_dir).select("series", F.col("time").alias("ts"), "value"), path, "csv")
+    return rounded(text.read_csv(spark, path).select("series", "time", "value"))
+
+
+add("csv_import", _from_csv, ORACLE_SQL["snapshot_restore"])
 add(
     "align_join",
     lambda s, d: rounded(align(_events(s, d).where("series = 'events.click'"), _events(s, d).where("series = 'events.view'"), 3600, names=("clicks", "views"))),
@@ -300,13 +396,87 @@ add(
     _streamed(lambda p: ingest.sessions(p, "10 minutes")),
     E + f', g AS (SELECT *, CASE WHEN time - lag(time) OVER w <= 600 THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY series ORDER BY time, seq)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY series ORDER BY time, seq) AS id FROM g) SELECT series, min(time) AS start, max(time) + 600 AS "end", {SUMMARY} FROM s GROUP BY series, id',
 )
+
+
+def _into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events through a stream of 150 partitions a batch into the store, the second half of its batches sent twice."""
+    store = storage.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    source = points.events(spark, sf_dir)
+    source.frame = spark.readStream.schema(points.EVENTS).parquet(f"{sf_dir}/[e]vents.parquet")
+    rows = source.scan()
+    for _ in range(2):  # the second time as after a crash before the stream's own commit
+        checkpoint = f"{store.root}/checkpoint-{uuid.uuid4().hex}"
+        ingest.into_store(rows.repartition(150), store, checkpoint, once=True, source="events").awaitTermination()
+    df = store.scan()
+    return rounded(df.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy("seq")) > 1).select("series", "time", "value", "tied"))
+
+
+add("stream_into_store", _into_store, E + "SELECT series, time, round(value, 6) AS value, false AS tied FROM p")
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows in append mode: each is put out once, when the watermark passes its end, and its state is freed."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = points.events(spark, sf_dir)
+    last = source.scan().agg(F.max("time")).first()[0]
+    later = F.explode(F.array(F.lit(0), F.when(F.col("event_id") == 0, F.lit(1)))).alias("again")
+    rows = source.frame.select("*", later).where("again is not null")
+    # one more point, far ahead, in a file of its own, takes the watermark past all windows
+    rows.where("again = 0").drop("again").coalesce(1).write.parquet(f"{root}/in")
+    rows.where("again = 1").drop("again").withColumn("ts", F.timestamp_seconds(F.lit(last + 86400 * 2)).cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    source.frame = spark.readStream.schema(points.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    made = ingest.windowed(source.scan(), "1 hour").writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
+    made.awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/out"))
+
+
+add("stream_append", _appended, ORACLE_SQL["stream_tumbling"])
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What EXPLAIN shows: a scan of three columns, with the time bound and the series pushed down."""
+    plan = Engine(spark, points.tables(spark, sf_dir)).query(f"explain select time, value from events.click where time >= {LO}").first()["plan"]
+    return spark.createDataFrame([("Scan parquet" in plan, "PushedFilters" in plan and "EqualTo(event_type,click)" in plan and "GreaterThanOrEqual(ts" in plan, "props" not in plan)], "scan boolean, pushed boolean, pruned boolean")
+
+
+add("explain_plan", _explained, "SELECT true AS scan, true AS pushed, true AS pruned")
+add("now_in_where", "select time, value from events.click where time <= now() and time >= 0 and now() > 1700000000", E + "SELECT time, round(value, 6) AS value FROM c")
+add("unary_plus", "select time, +value as a, - -value as b from events.click where time >= 0", E + "SELECT time, round(value, 6) AS a, round(value, 6) AS b FROM c")
+add("comments", "select time, value -- a remark, 'quoted'\nfrom events.click -- another\nwhere time >= 0 and value < 10", E + "SELECT time, round(value, 6) AS value FROM c WHERE value < 10")
+
+BROKEN = {
+    "select value from events.click": "time_range_required",
+    "select nothing(value) from events.click where time >= 0": "invalid_syntax",
+    "select avg() from events.click where time >= 0": "invalid_function_arity",
+    "select time from events.click where time >= 0 and avg(value) > 1": "invalid_syntax",
+    "select from": "invalid_syntax",
+    "select avg(value) as a from events.click where time >= 0 fill(0)": "unsupported_fill_policy",
+}
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each statement that is refused."""
+    engine, out = Engine(spark, points.tables(spark, sf_dir)), []
+    for query in BROKEN:
+        try:
+            engine.query(query)
+            out.append((query, "none"))
+        except CheckError as e:
+            out.append((query, e.diagnostics[0].code))
+        except LanguageError as e:
+            out.append((query, e.code))
+    out += [(q, translate(q).sqlstate) for q in ("CREATE TABLE t (a int)", "SELECT 1 RETURNING x")]
+    return spark.createDataFrame(out, "statement string, code string")
+
+
+add("refused", _refused, "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{c}')" for q, c in [*BROKEN.items(), ("CREATE TABLE t (a int)", "0A000"), ("SELECT 1 RETURNING x", "0A000")]) + ") AS t(statement, code)")
 add("catalog_types", lambda s, d: catalog.frames(s)["pg_type"].groupBy("typcategory").agg(F.count(F.lit(1)).alias("n"), F.sum("oid").alias("ids")), "SELECT typcategory, CAST(n AS BIGINT) AS n, CAST(ids AS BIGINT) AS ids FROM (VALUES ('A', 14, 19734), ('B', 1, 16), ('D', 4, 4463), ('N', 6, 3165), ('S', 1, 25), ('U', 2, 6752)) AS t(typcategory, n, ids)")
 add("catalog_attributes", lambda s, d: catalog.frames(s)["pg_attribute"].select("attname", "atttypid", "attnum"), "SELECT attname, CAST(atttypid AS BIGINT) AS atttypid, attnum FROM (VALUES ('oid', 23, 1), ('typname', 25, 2), ('typlen', 21, 3), ('typbyval', 16, 4), ('typtype', 25, 5), ('typcategory', 25, 6), ('typdelim', 25, 7), ('typelem', 23, 8), ('typarray', 23, 9), ('typbasetype', 23, 10), ('typcollation', 23, 11)) AS t(attname, atttypid, attnum)")
 
 
 def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = translate(f"SELECT time, value FROM events.click WHERE time >= {LO} AND time < {LO + 86400} ORDER BY time LIMIT 1000;")
+    made = translate(f"SELECT time, value FROM events.click WHERE time >= {LO} AND time < {LO + 86400} ORDER BY time;")
     return rounded(Engine(spark, points.tables(spark, sf_dir)).query(made.text))
 
 
-add("translated_sql", _translated, E + f"SELECT time, round(value, 6) AS value FROM c WHERE time >= {LO} AND time < {LO + 86400} ORDER BY time LIMIT 1000")
+add("translated_sql", _translated, E + f"SELECT time, round(value, 6) AS value FROM c WHERE time >= {LO} AND time < {LO + 86400} ORDER BY time")

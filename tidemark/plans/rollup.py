@@ -17,20 +17,21 @@ from .language import Binary, Between, Call, Expr, Literal, Name, Select, Unary
 MERGED = {
     "sum": lambda: F.sum("sum"),
     "count": lambda: F.sum("n"),
+    "rows": lambda: F.sum("points"),
     "min": lambda: F.min("min"),
     "max": lambda: F.max("max"),
-    "avg": lambda: F.sum("sum") / F.sum("n"),
+    "avg": lambda: F.sum("sum") / F.nullif(F.sum("n"), F.lit(0)),
 }
 
 
 def build(points: DataFrame, step: int) -> DataFrame:
-    """One row for each series and bucket: bucket, sum, n, min, max of the values."""
-    return points.groupBy("series_id", "series", time_bucket(F.lit(step), F.col("time")).alias("bucket")).agg(F.sum("value").alias("sum"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
+    """One row for each series and bucket: bucket, number of points, and sum, n, min, max of the values that are not null."""
+    return points.groupBy("series_id", "series", time_bucket(F.lit(step), F.col("time")).alias("bucket")).agg(F.count(F.lit(1)).alias("points"), F.sum("value").alias("sum"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
 def coarser(rollup: DataFrame, step: int) -> DataFrame:
     """A rollup from a finer one whose step divides `step`."""
-    return rollup.groupBy("series_id", "series", time_bucket(F.lit(step), F.col("bucket")).alias("bucket")).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"))
+    return rollup.groupBy("series_id", "series", time_bucket(F.lit(step), F.col("bucket")).alias("bucket")).agg(F.sum("points").alias("points"), F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 @dataclass
@@ -68,7 +69,7 @@ class Rollups:
         scope = Scope(names={"time": F.col("bucket")})
         df = df.where(scope.column(s.where)) if s.where is not None else df
         made = df.groupBy(time_bucket(F.lit(int(constant(buckets(s)[0].args[0]))), F.col("bucket")).alias("_key0"))
-        made = made.agg(*[MERGED[c.name.lower()]().alias(f"_agg{n}") for n, c in enumerate(wanted)], F.sum("n").alias("_rows"))
+        made = made.agg(*[MERGED[c.name.lower() if c.args else "rows"]().alias(f"_agg{n}") for n, c in enumerate(wanted)], F.sum("points").alias("_rows"))
         df, scope = planner.grouped(s, made, [(c, f"_agg{n}") for n, c in enumerate(wanted)])
         return _project(planner, s, df, scope)
 

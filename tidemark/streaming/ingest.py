@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,15 +20,22 @@ def lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     return ndjson.normalise(raw)
 
 
-def into_store(points: DataFrame, store: Store, checkpoint: str, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
-    """Appends every micro-batch to the store. Late points go to their own hour; compaction keeps the last written.
+def into_store(points: DataFrame, store: Store, checkpoint: str, every: str = "2 seconds", once: bool = False, source: str | None = None) -> StreamingQuery:
+    """Adds every micro-batch to the store, once. Late points go to their own hour; compaction keeps the last written.
 
-    A batch that is repeated after a failure is appended again with the same points; compaction leaves one of each.
+    `source` names the stream for that; without one its checkpoint does.
+    seq is 2^40 times the batch's number plus the row's place in the batch, so that the last written wins; no two rows share one.
     """
+    source = source or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, epoch: int) -> None:
-        # later batches have larger seq, so that the last written wins
-        store.append(batch.withColumn("seq", F.lit(epoch) * F.lit(1 << 40) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 40))))
+        rows = batch.withColumn("_id", F.monotonically_increasing_id()).persist()
+        part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+        sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a task
+        starts = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)), initial=0))
+        before = F.get(F.lit(starts).cast("array<bigint>"), part.cast("int"))
+        store.append_once(rows.withColumn("seq", F.lit(epoch) * F.lit(1 << 40) + before + place).drop("_id"), source, epoch)
+        rows.unpersist()
 
     writer = points.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
