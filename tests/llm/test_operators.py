@@ -404,9 +404,27 @@ def test_url_rules(spark):
 
 
 def test_url_digest_collisions_are_told_apart(monkeypatch):
-    monkeypatch.setattr(url_filter.DigestRules, "digest", staticmethod(lambda key: 5))
-    rules = url_filter.DigestRules(url_filter.RULES)
-    assert url_filter.probe(rules, rules.digests, ["http://a.org/es/1", "http://a.org/xx/1"]) == [("a.org", "/es/1", "org/es/", "block"), ("a.org", "/xx/1", None, None)]
+    import numpy as np
+
+    monkeypatch.setattr(url_filter, "digest", lambda key: 5)
+    rules = url_filter.DigestRules(np.frombuffer(url_filter.rules_file(url_filter.RULES), np.uint8))
+    assert url_filter.probe(rules, ["http://a.org/es/1", "http://a.org/xx/1"]) == [("a.org", "/es/1", "org/es/", "block"), ("a.org", "/xx/1", None, None)]
+
+
+def test_url_many_rules_against_brute_force(spark):
+    rnd = random.Random(2)
+    rules = [(rnd.choice(["block", "allow"]), f"{'Sub.' if k % 3 else ''}h{k % 40_000}.org", rnd.choice(["", "/", "/a", "/ü/", f"/p{k % 7}"])) for k in range(100_000)]
+    assert len(url_filter.rules_file(rules)) < 10_000_000 and len(url_filter.rules_file([])) > 0
+    urls = [f"http://{rnd.choice(['', 'x.', 'sub.', 'a.b.'])}h{rnd.randrange(45_000)}.ORG{rnd.choice(['', '/', '/ab', '/ü/z', '/p3/q'])}" for _ in range(400)]
+    by = {}
+    for v, h, p in rules:
+        by[h.lower() + p] = (v, h.lower(), p)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for r in url_filter.filter_urls(df, rules).collect():
+        labels = r["host"].split(".")
+        fits = [(len(h + p), len(h), h + p, v) for k in range(len(labels)) for p in ("", "/", "/a", "/ü/", *[f"/p{j}" for j in range(7)]) if (found := by.get((h := ".".join(labels[k:])) + p)) and r["path"].startswith(p) and found[1:] == (h, p) for v in [found[0]]]
+        assert (r["rule"], r["verdict"]) == (max(fits)[2:] if fits else (None, "allow"))
+    assert {r["verdict"] for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
 # -- 7

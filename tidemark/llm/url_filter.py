@@ -1,7 +1,7 @@
 """URL filters over a sorted digest array.
 
-The rules' keys (host then path) are hashed with 64-bit xxhash and kept as one sorted array of digests in a file that every
-executor memory-maps. A URL is probed under every host suffix at a label boundary, joined with every prefix of its path that has
+The rules' keys (host then path) are hashed with 64-bit xxhash and kept as one sorted array of digests, with the strings behind it, in a
+file that every executor memory-maps; nothing of the rules travels with a task. A URL is probed under every host suffix at a label boundary, joined with every prefix of its path that has
 the length of some rule's path; all probes of a batch go through one vectorised binary search, and each hit is confirmed
 against the stored string, so that two keys with one digest are told apart.
 
@@ -45,70 +45,96 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), slash + path
 
 
+def digest(key: bytes) -> int:
+    return xxhash.xxh64_intdigest(key)
+
+
+def rules_file(rules: list[tuple[str, str, str]]) -> bytes:
+    """The rules as one file: digests in order, then where each rule's strings begin, the lengths of its host and path, its verdict, the
+    path lengths that occur, and all strings, host then path. Of equal keys the last rule holds."""
+    by = {}
+    for verdict, host, path in rules:
+        host = host.translate(_LOWER)
+        by[host + path] = (verdict, host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass"))
+    kept = sorted(((digest(h + p), h, p, v) for v, h, p in by.values()), key=lambda r: r[:3])
+    verdicts = sorted({r[3] for r in kept})
+    sizes = np.array([(len(r[1]), len(r[2])) for r in kept], np.int64).reshape(-1, 2)
+    starts = np.cumsum(sizes.sum(1)) - sizes.sum(1)
+    lengths = np.array(sorted({len(p.decode("utf-8", "surrogatepass")) for _, _, p, _ in kept}), np.int64)
+    names = "\n".join(verdicts).encode()
+    columns = [np.array([r[0] for r in kept], np.uint64), starts, sizes[:, 0].copy(), sizes[:, 1].copy(), np.array([verdicts.index(r[3]) for r in kept], np.int64), lengths]
+    head = np.array([len(kept), len(lengths), len(names)], np.int64)
+    return b"".join([head.tobytes(), *[c.tobytes() for c in columns], names, *[r[1] + r[2] for r in kept]])
+
+
 class DigestRules:
-    """Rules as sorted digests beside their full strings."""
-
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        by = {}
-        for verdict, host, path in rules:
-            by[host.translate(_LOWER) + path] = (verdict, host.translate(_LOWER), path)
-        keys = sorted(by, key=self.digest)
-        self.keys = keys
-        self.rules = [by[k] for k in keys]
-        self.digests = np.array([self.digest(k) for k in keys], np.uint64)
-        self.path_lengths = sorted({len(r[2]) for r in self.rules})
-
-    @staticmethod
-    def digest(key: str) -> int:
-        return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
-
-    def share(self, spark: SparkSession) -> str:
-        """Hands the digest file to every executor, also to those that start later; returns its name there."""
-        raw = self.digests.tobytes()
-        name = f"digests-{hashlib.sha256(raw + repr(self.rules).encode()).hexdigest()[:24]}.bin"
-        path = f"{shared_dir(spark)}/{name}"
-        write_bytes(spark, path, raw)
-        spark.sparkContext.addFile(path)
-        return name
-
-
-def probe(rules: DigestRules, digests: np.ndarray, urls: list[str | None]) -> list[tuple]:
+    """A rules file, mapped into memory: workers share its pages, and only what a probe touches is read."""
+
+    def __init__(self, raw: np.ndarray):
+        n, m, named = (int(x) for x in raw[:24].view(np.int64))
+        body = raw[24 : 24 + 8 * (5 * n + m)]
+        self.digests = body[: 8 * n].view(np.uint64)
+        self.starts, self.hosts, self.paths, self.verdict = (body[8 * n * k : 8 * n * (k + 1)].view(np.int64) for k in range(1, 5))
+        self.path_lengths = body[40 * n :].view(np.int64).tolist()
+        at = 24 + len(body)
+        self.verdicts = raw[at : at + named].tobytes().decode().split("\n")
+        self.strings = raw[at + named :]
+
+    @classmethod
+    def mapped(cls, name: str) -> DigestRules:
+        return cls(np.memmap(name, np.uint8, "r"))
+
+    def key(self, k: int) -> bytes:
+        start = int(self.starts[k])
+        return self.strings[start : start + int(self.hosts[k] + self.paths[k])].tobytes()
+
+
+def share(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
+    """Hands the rules file to every executor, also to those that start later; returns its name there."""
+    raw = rules_file(rules)
+    name = f"rules-{hashlib.sha256(raw).hexdigest()[:24]}.bin"
+    path = f"{shared_dir(spark)}/{name}"
+    write_bytes(spark, path, raw)
+    spark.sparkContext.addFile(path)
+    return name
+
+
+def probe(rules: DigestRules, urls: list[str | None]) -> list[tuple]:
     """(host, path, rule, verdict) of each URL; rule and verdict are None where no rule fits."""
     parts = [split_url(u) for u in urls]
-    keys: list[str] = []
+    keys: list[bytes] = []
     owner: list[int] = []
     for i, (host, path) in enumerate(parts):
         at = 0
-        prefixes = [path[:n] for n in rules.path_lengths if n <= len(path)]
+        prefixes = [path[:n].encode("utf-8", "surrogatepass") for n in rules.path_lengths if n <= len(path)]
         while prefixes and host:
+            own = host[at:].encode("utf-8", "surrogatepass")
             for p in prefixes:
-                keys.append(host[at:] + p)
+                keys.append(own + p)
                 owner.append(i)
             at = host.find(".", at) + 1
             if not at:
                 break
-    best: dict[int, int] = {}
-    if keys and len(digests):
-        wanted = np.fromiter((rules.digest(k) for k in keys), np.uint64, len(keys))
-        lo, hi = np.searchsorted(digests, wanted, "left"), np.searchsorted(digests, wanted, "right")
+    best: dict[int, tuple[int, int, int]] = {}
+    if keys and len(rules.digests):
+        wanted = np.fromiter(map(digest, keys), np.uint64, len(keys))
+        lo, hi = np.searchsorted(rules.digests, wanted, "left"), np.searchsorted(rules.digests, wanted, "right")
         for j in np.flatnonzero(hi > lo):
             for k in range(lo[j], hi[j]):
-                if rules.keys[k] == keys[j]:
-                    i = owner[j]
-                    if i not in best or (len(rules.keys[k]), len(rules.rules[k][1])) > (len(rules.keys[best[i]]), len(rules.rules[best[i]][1])):
-                        best[i] = k
-    return [(h, p, rules.keys[best[i]], rules.rules[best[i]][0]) if i in best else (h, p, None, None) for i, (h, p) in enumerate(parts)]
+                if rules.key(k) == keys[j]:
+                    mark = len(keys[j].decode("utf-8", "surrogatepass")), int(rules.hosts[k]), k
+                    best[owner[j]] = max(best.get(owner[j], mark), mark)
+    return [(h, p, rules.key(best[i][2]).decode("utf-8", "surrogatepass"), rules.verdicts[int(rules.verdict[best[i][2]])]) if i in best else (h, p, None, None) for i, (h, p) in enumerate(parts)]
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of every row. Longest rule wins; where none fits, the verdict is `default`."""
-    spark, made = pages.sparkSession, DigestRules(rules)
-    name = made.share(spark)
+    name = share(pages.sparkSession, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = np.memmap(SparkFiles.get(name), np.uint64, "r") if made.keys else np.empty(0, np.uint64)
+        made = DigestRules.mapped(SparkFiles.get(name))
         for b in batches:
-            found = probe(made, digests, b.column("url").to_pylist())
+            found = probe(made, b.column("url").to_pylist())
             host, path, rule, verdict = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.record_batch(
                 [b.column("page_id"), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(rule, pa.string()), pa.array([v or default for v in verdict], pa.string())],
