@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -26,7 +27,7 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +145,8 @@ def _numbered(buckets: int) -> Callable:
 
 def _encoded(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, known = encoding(path)._core_bpe.encode_single_piece, {}
+        # the distinct words dealt to this task: its share of the vocabulary, which more shuffle partitions make smaller
+        piece, known = encoding(SparkFiles.get(path))._core_bpe.encode_single_piece, {}
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("dest", "kind", "block", "part", "payload")), strict=True):
                 if row[1] == 0:
@@ -157,8 +159,6 @@ def _encoded(path: str) -> Callable:
                         if x is None:
                             x = known[w] = np.array(piece(w), np.uint32).tobytes()
                         out.append(x)
-                    if len(known) > 200_000:
-                        known.clear()
                     ids = np.frombuffer(b"".join(out), np.uint32)
                     row = (*row[:4], pack(own, np.array([len(x) // 4 for x in out], np.uint32), planes(ids)))
                 yield _batch([row])
@@ -168,7 +168,7 @@ def _encoded(path: str) -> Callable:
 
 def _digests(path: str) -> Callable:
     def make(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-        table = token_bytes(path)
+        table = token_bytes(SparkFiles.get(path))
         shown = [str(i).encode() for i in range(len(table))]
         sizes, a, d = [], [], []
         for x in ids:
@@ -216,7 +216,14 @@ def _together(make: Callable) -> Callable:
     return run
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the driver's vocabulary file with the job; returns its name for SparkFiles.get in the tasks."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def _run(docs: DataFrame, make: Callable, schema: str, path: str) -> DataFrame:
+    """path: the vocabulary's name among the shipped files."""
     small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -227,14 +234,15 @@ def _run(docs: DataFrame, make: Callable, schema: str, path: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id and ids of every text."""
-    return _run(docs, _id_lists, IDS, path)
+    return _run(docs, _id_lists, IDS, shipped(docs.sparkSession, path))
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id and bytes of every list of ids; an id that the vocabulary lacks raises."""
+    name = shipped(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        table = token_bytes(SparkFiles.get(name))
         for b in batches:
             out = [b"".join([table[i] for i in x or ()]) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "raw"])
@@ -244,7 +252,8 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes of every text."""
-    return _run(docs, _digests(path), DIGESTS, path)
+    name = shipped(docs.sparkSession, path)
+    return _run(docs, _digests(name), DIGESTS, name)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
