@@ -5,8 +5,7 @@ Two multinomials over the hash buckets are counted: one over all documents (raw
 documents labelled as of good quality. A text's ratio is the sum of its features' log(target / raw), divided by their number;
 a document is kept if it passes the base rules and its ratio is `threshold` or more, the same for every document.
 
-Bound of the target (documented parameter): at most `max_target` labelled rows, those with the smallest hashes of doc_id. The
-raw counts cover all rows.
+Both are counted over all rows; a document counts to the target if one of its labels says good.
 
 Defined results: a null text has no words and fails the base rules. A text without tokens has ratio 0. Without a labelled document
 of good quality every ratio is 0. Rows that repeat are counted and judged alike and all kept; extra columns are dropped. An empty
@@ -71,11 +70,10 @@ def _features() -> Column:
     return F.concat(one, two)
 
 
-def ratios(docs: DataFrame, labels: DataFrame, max_target: int = 20_000) -> list[float]:
+def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(target / raw) of each bucket, counted over all rows; the result has BUCKETS numbers whatever the corpus."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null").distinct()
-    good = good.orderBy(F.xxhash64("id"), "id").limit(max_target).withColumn("good", F.lit(1))
-    tokens = docs.select(F.col("doc_id").cast("bigint").alias("id"), _text().alias("text")).join(F.broadcast(good), "id", "left").select("good", _tokens(F.col("text")).alias("tokens"))
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1))
+    tokens = docs.select(F.col("doc_id").cast("bigint").alias("id"), _text().alias("text")).join(good, "id", "left").select("good", _tokens(F.col("text")).alias("tokens"))
     counts = tokens.select("good", F.explode(_features()).alias("f")).groupBy("f").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
     raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
     for r in counts:
