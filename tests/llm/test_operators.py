@@ -559,6 +559,36 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert rows(toxicity.score(no_docs, model)) == []
 
 
+def test_toxicity_fit_against_one_machine(spark):
+    """Log-count ratios from sets of n-grams, and the descent over a dense matrix, give the weights of the distributed fit."""
+    import numpy as np
+
+    rnd = random.Random(7)
+    data = [(i, " ".join(rnd.choice(["aa", "bb", "cc"]) for _ in range(5)) + " dolt" * (i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([*data, (None, "dolt dolt")], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in data], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, rounds=5)
+    own = [(i % 3 == 0, set(toxicity.features(t).tolist())) for i, t in data if zlib.crc32(str(i).encode()) % 5]
+    n = [sum(not y for y, _ in own), sum(y for y, _ in own)]
+    held_by = {f: [sum(f in x for y, x in own if y == k) for k in (False, True)] for _, x in own for f in x}
+    names = sorted(held_by)
+    r = np.array([math.log((held_by[f][1] + 1) / (n[1] + 1)) - math.log((held_by[f][0] + 1) / (n[0] + 1)) for f in names])
+    error = np.array([math.sqrt(1 / (held_by[f][1] + 1) + 1 / (held_by[f][0] + 1)) for f in names])
+    r = np.where((np.array([sum(held_by[f]) for f in names]) >= 3) & (abs(r) >= 3 * error), r, 0.0)
+    assert 5 < np.count_nonzero(r) < len(r)
+    x = np.array([[f in own_x for f in names] for _, own_x in own]) * r
+    y, each = np.array([k for k, _ in own], float), np.array([0.5 / n[int(k)] for k, _ in own])
+    w, b, gw, gb = np.zeros(len(r)), 0.0, np.full(len(r), 1e-8), 1e-8
+    for _ in range(5):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) * each
+        g, shift = x.T @ e + 3e-3 * w, e.sum()
+        gw, gb = gw + g * g, gb + shift**2
+        w, b = w - 0.5 * g / np.sqrt(gw), b - 0.5 * shift / np.sqrt(gb)
+    assert np.allclose(model.weights[names], w * r, atol=1e-3) and model.intercept == pytest.approx(b, abs=1e-3)
+    assert np.count_nonzero(model.weights) == np.count_nonzero(w * r)
+    assert [s["held_out"] for s in toxicity.score(docs, model).where("doc_id is null").collect()] == [False]
+
+
 def test_toxicity_without_labels(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert all(r["score"] == pytest.approx(0) for r in toxicity.score(odd_docs, toxicity.train(odd_docs, none)).collect())

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -61,3 +62,32 @@ def test_stages_keep_the_columns(spark, folder):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "decontamination", "bpe"]
+
+
+def test_odd_rows_and_empty_tables(spark, odd_docs, tmp_path):
+    """Nulls, repeats, a long text and clashing columns pass through; empty tables give empty results."""
+    from .conftest import DOCS
+
+    at = str(tmp_path)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    odd_docs.write.parquet(f"{at}/documents.parquet")
+    docs = odd_docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, at)
+        assert docs.columns == odd_docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert got == Counter((i, None if t is None else cut[3]) for (i, t), cut in zip(DOCS, cut_lines(DOCS), strict=True))
+    assert corpus_pipeline.run(spark, at).count() == len(DOCS)
+    spark.createDataFrame([], "doc_id bigint, text string, n_chars bigint").write.parquet(f"{at}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{t}.parquet").write.parquet(f"{at}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{at}/none").collect() == []
+
+
+def test_tables_made_on_the_way_are_dropped(spark, folder):
+    from tidemark.llm import common
+
+    before = list(common.MADE)
+    corpus_pipeline.run(spark, folder[0]).collect()
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common.MADE if p not in before] == ["pipeline-decontamination"]

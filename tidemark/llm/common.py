@@ -48,17 +48,25 @@ def lower_ascii(c):
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: Paths of the tables written and not dropped yet, oldest first.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing twice.
 
     slim: its rows are few and small next to the input, so that a file for each 16 shuffle partitions is enough.
+    The table stays until drop() or sweep() takes it away, as what is planned over it may run later.
     """
     spark = df.sparkSession
     if slim:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    MADE.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -66,6 +74,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Removes a table that written() made and nothing will read again."""
+    drop_path(table.sparkSession, table._written_at)
+
+
+def sweep(spark: SparkSession, since: list[str], keep: DataFrame) -> None:
+    """Removes the tables made since a copy of MADE was taken, but `keep`; for the end of a step whose result is written."""
+    for path in [p for p in MADE if p not in since and p != keep._written_at]:
+        drop_path(spark, path)
 
 
 def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:

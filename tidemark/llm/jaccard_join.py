@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, trimmed, written
+from .common import drop, read, small_batches, trimmed, written
 
 BATCH_HASHES = 1_000_000
 BINS = 32
@@ -241,6 +241,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = written(moved.where("x < y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links", slim=True)
         # done when every node has one parent and no parent has one itself, which holds if nothing changed
         marks = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, after)]
+        drop(edges)
         edges = after
         if marks[0] == marks[1]:
             break

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, lower_ascii, read, shared_dir, written
+from .common import MADE, drop_path, lower_ascii, read, shared_dir, written
 
 KEY = ["h1", "h2"]
 
@@ -37,6 +37,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = 3, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.folder = f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
+        MADE.append(self.folder)
         self.levels: list[list[str]] = []
         self.made = 0
 
@@ -84,8 +85,8 @@ class LineRuns:
         return self._merged(self._read(held)).where(F.col("n") >= self.min_docs).drop("n")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """docs with the shared lines cut from `text`, and the struct `_lines` of n_lines and n_dropped."""
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, counts: str = "_lines") -> DataFrame:
+    """docs with the shared lines cut from `text`, and the struct `counts` of n_lines and n_dropped as the last column."""
     spark = docs.sparkSession
     # other columns travel packed, so that none can clash with the columns made here
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), F.struct(*docs.columns).alias("row"))
@@ -113,7 +114,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     cut = joined.withColumn("dense", dense).select("row", F.when(F.col("masks").isNotNull(), kept).alias("kept"), n.cast("bigint").alias("n"))
     return cut.select(
         *[F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text").cast("string")).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
-        F.struct(F.col("n").alias("n_lines"), F.when(F.col("kept").isNotNull(), F.col("n") - F.size("kept")).otherwise(F.lit(0)).cast("bigint").alias("n_dropped")).alias("_lines"),
+        F.struct(F.col("n").alias("n_lines"), F.when(F.col("kept").isNotNull(), F.col("n") - F.size("kept")).otherwise(F.lit(0)).cast("bigint").alias("n_dropped")).alias(counts),
     )
 
 

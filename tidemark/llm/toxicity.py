@@ -1,30 +1,36 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the distinct hashed n-grams of 3 to 5 characters of its lower-cased whole text. Each feature's value
-is its log-count ratio between toxic and other training texts; a logistic regression is fitted over those values.
+is its log-count ratio between toxic and other training texts; a logistic regression is fitted over those values. N-grams of fewer
+than `SUPPORT` texts, or whose ratio is within `SURE` standard errors of 0, tell nothing and have the value 0. The sample's features
+are a table; each round of the fit sums gradients over its parts in the executors, and the driver holds arrays of 2^BITS numbers
+alone, however long the texts are.
 
-Bound of the fit (documented parameters): at most `per_class[1]` toxic and `per_class[0]` other labelled rows, those with the
-smallest hashes of doc_id, and at most `max_features` n-grams, those with the most weighty log-count ratios. Every document is
-scored by its whole text.
+Bound of the fit (documented parameter): the labelled doc_ids with the smallest hashes, at most `per_class[1]` toxic and `per_class[0]`
+others; all rows with a chosen doc_id are used. Every document is scored by its whole text.
 
-Defined results: a null text counts as empty and scores by the intercept alone. Labels that are null are no labels; a document
+Defined results: a row with a null doc_id is not held out, and has no label. a null text counts as empty and scores by the intercept alone. Labels that are null are no labels; a document
 labelled twice is toxic if one label says so. Without labelled rows of both classes the score is the share of toxic labels (0 if
 there are none). Rows that repeat are scored alike and all kept; extra columns are never read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, trimmed, written
+from .common import drop, read, small_batches, trimmed, written
 
 SIZES = (3, 4, 5)
 BITS = 20
+SUPPORT = 3
+SURE = 3.0
+PARTS = 4
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
@@ -43,7 +49,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def held_out():
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 class Model:
@@ -66,48 +72,92 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "found"])
 
 
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    return batch.column("toxic").to_numpy(), [np.frombuffer(raw, np.int32) for raw in batch.column("found").to_pylist()]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    """Texts of each class that hold each feature, as one array, and the number of texts."""
+    counts, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
     for b in batches:
-        for y, raw in zip(b.column("toxic").to_pylist(), b.column("found").to_pylist(), strict=True):
-            counts[y][np.frombuffer(raw, np.int32)] += 1
-    f = np.flatnonzero(counts.sum(0))
-    yield pa.record_batch([pa.array(f), pa.array(counts[0][f]), pa.array(counts[1][f])], names=["f", "n0", "n1"])
-
-
-def _fit(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float = 3e-3, rounds: int = 60, block: int = 1_000_000) -> tuple[np.ndarray, float]:
-    """Logistic regression over rows of feature indices, whose values are r; Adagrad on the mean loss over both classes alike.
-
-    The gradient is summed over blocks of about `block` entries, so that little more than the indices is in memory.
-    """
-    cuts, held = [0], 0
-    for i, v in enumerate(x):
-        held += len(v)
-        if held >= block or i + 1 == len(x):
-            cuts.append(i + 1)
-            held = 0
-    w, b = np.zeros(len(r)), 0.0
-    gw, gb = np.full(len(r), 1e-8), 1e-8
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    for _ in range(rounds):
-        g, shift, wr = l2 * w, 0.0, w * r
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            idx = np.concatenate(x[i:j])
-            row = np.repeat(np.arange(j - i, dtype=np.int32), [len(v) for v in x[i:j]])
-            z = np.bincount(row, wr[idx], j - i) + b
-            e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[i:j]) * each[i:j]
-            g += np.bincount(idx, e[row], len(r)) * r
-            shift += e.sum()
-        gw += g * g
-        gb += shift**2
-        w -= 0.5 * g / np.sqrt(gw)
-        b -= 0.5 * shift / np.sqrt(gb)
-    return w * r, b
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000), max_features: int = 50_000) -> Model:
+        for y, x in zip(*_rows(b), strict=True):
+            counts[y][x] += 1
+            n[y] += 1
+    yield pa.record_batch([pa.array([counts.tobytes()], pa.binary()), pa.array([n], pa.list_(pa.int64()))], names=["counts", "n"])
+
+
+def gradient(y: np.ndarray, x: list[np.ndarray], wr: np.ndarray, b: float, each: tuple[float, float], block: int = 1_000_000) -> tuple[np.ndarray, float]:
+    """Gradient of the weighted loss by feature and by the intercept, over blocks of about `block` entries."""
+    g, shift = np.zeros(len(wr)), 0.0
+    start = 0
+    while start < len(x):
+        end, held = start, 0
+        while end < len(x) and (held == 0 or held + len(x[end]) <= block):
+            held += max(1, len(x[end]))
+            end += 1
+        idx, own = np.concatenate(x[start:end]), y[start:end]
+        row = np.repeat(np.arange(end - start), [len(v) for v in x[start:end]])
+        z = np.bincount(row, wr[idx], end - start) + b
+        e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - own) * np.where(own == 1, each[1], each[0])
+        g += np.bincount(idx, e[row], len(wr))
+        shift += e.sum()
+        start = end
+    return g, shift
+
+
+def _gradients(shared, each: tuple[float, float]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wr, b = shared.value
+        g, shift = np.zeros(len(wr)), 0.0
+        for batch in batches:
+            own = gradient(*_rows(batch), wr, b, each)
+            g += own[0]
+            shift += own[1]
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([g.astype(np.float32).tobytes()], pa.binary()), pa.array([shift])], names=["part", "g", "shift"])
+
+    return run
+
+
+class Descent:
+    """Adagrad on the mean loss over both classes alike, over features whose values are r."""
+
+    def __init__(self, r: np.ndarray, l2: float = 3e-3, rate: float = 0.5):
+        self.r, self.l2, self.rate = r, l2, rate
+        self.w, self.b = np.zeros(len(r)), 0.0
+        self.gw, self.gb = np.full(len(r), 1e-8), 1e-8
+
+    def scaled(self) -> np.ndarray:
+        return self.w * self.r
+
+    def step(self, g: np.ndarray, shift: float) -> None:
+        g = g * self.r + self.l2 * self.w
+        self.gw += g * g
+        self.gb += shift**2
+        self.w -= self.rate * g / np.sqrt(self.gw)
+        self.b -= self.rate * shift / np.sqrt(self.gb)
+
+
+def log_ratios(counts: np.ndarray, n: list[int]) -> np.ndarray:
+    r = np.log((counts[1] + 1) / (n[1] + 1.0)) - np.log((counts[0] + 1) / (n[0] + 1.0))
+    sure = np.abs(r) >= SURE * np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1))
+    return np.where((counts.sum(0) >= SUPPORT) & sure, r, 0.0)
+
+
+def _picked(place: np.ndarray) -> Callable:
+    """The features that have a value, by their places among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(p := place[x])[p >= 0].tobytes() for x in _rows(b)[1]]
+            yield pa.record_batch([b.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "found"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000), rounds: int = 60) -> Model:
     """Fits on a bounded sample of labelled rows outside the held-out fold; see the module's text for the bounds."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -125,30 +175,33 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000
     # at most sum(per_class) ids and flags: a bounded broadcast
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     table = written(rows.mapInArrow(trimmed(_featured), "toxic int, found binary"), "toxic-features")
-    n = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in table.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    parts = table.coalesce(PARTS)
+    counts, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
+    for r in parts.mapInArrow(trimmed(_counted), "counts binary, n array<bigint>").collect():
+        counts += np.frombuffer(r["counts"], np.int32).reshape(2, -1)
+        n = [n[0] + r["n"][0], n[1] + r["n"][1]]
     if not n[0] or not n[1]:
+        drop(table)
         return Model(zero, logit(totals[1], totals[0]))
-    counts = table.coalesce(8).mapInArrow(trimmed(_counted), "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    ratio = F.log((F.col("n1") + 1) / F.lit(n[1] + 1.0)) - F.log((F.col("n0") + 1) / F.lit(n[0] + 1.0))
-    best = counts.where("n0 + n1 >= 3").withColumn("r", ratio).orderBy(F.desc(F.abs("r") * F.sqrt(F.col("n0") + F.col("n1"))), "f").limit(max_features).toPandas()
-    if best.empty:
-        return Model(zero, logit(totals[1], totals[0]))
-    chosen, r = best["f"].to_numpy(), best["r"].to_numpy(float)
+    ratios = log_ratios(counts, n)
+    chosen = np.flatnonzero(ratios)
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-
-    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(p := place[np.frombuffer(raw, np.int32)])[p >= 0].tobytes() for raw in b.column("found").to_pylist()]
-            yield pa.record_batch([b.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "found"])
-
-    fitted = table.mapInArrow(trimmed(picked), "toxic int, found binary").toPandas()
-    order = sorted(range(len(fitted)), key=lambda i: (fitted["toxic"][i], bytes(fitted["found"][i])))  # the same sums on every run
-    x = [np.frombuffer(fitted["found"][i], np.int32) for i in order]
-    w, b = _fit(x, fitted["toxic"].to_numpy()[order], r)
+    picked = written(parts.mapInArrow(trimmed(_picked(place)), "toxic int, found binary"), "toxic-picked")
+    drop(table)
+    fit, each, parts = Descent(ratios[chosen]), (0.5 / n[0], 0.5 / n[1]), picked.coalesce(PARTS)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((fit.scaled(), fit.b))
+        g, shift = np.zeros(len(chosen)), 0.0
+        for r in sorted(parts.mapInArrow(_gradients(shared, each), "part int, g binary, shift double").collect(), key=lambda r: r["part"]):
+            g += np.frombuffer(r["g"], np.float32)
+            shift += r["shift"]
+        fit.step(g, shift)
+        shared.destroy()
+    drop(picked)
     weights = zero.copy()
-    weights[chosen] = w
-    return Model(weights, b)
+    weights[chosen] = fit.scaled()
+    return Model(weights, fit.b)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
