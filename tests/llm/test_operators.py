@@ -377,6 +377,15 @@ def test_line_dedup(spark, odd_docs, batches, fanout):
         assert Counter(got) == Counter(cut_lines(source))
 
 
+def test_line_dedup_of_hot_lines(spark, monkeypatch):
+    """Lines of very many documents are cut like all others, without meeting in one task."""
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 20)
+    data = [(i, f"the line that every text here holds\nanother line of number {i % 30} in some\nown line of the text with number {i}") for i in range(90)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert Counter((r[0], r[-1]["n_lines"], r[-1]["n_dropped"], r[1]) for r in out.collect()) == Counter(cut_lines(data))
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert rows(line_dedup.dedup_lines(no_docs)) == []
 
@@ -386,7 +395,7 @@ def test_runs_compact_by_level(spark):
     for i in range(5):
         runs.add(spark.createDataFrame([(7, 7, 10 - i), (i, 0, 10 - i)], "h1 bigint, h2 bigint, doc bigint"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert [tuple(r) for r in runs.settled().collect()] == [(7, 7, 10)]
+    assert [(r["h1"], r["h2"], r["top"]) for r in runs.settled().collect()] == [(7, 7, 10)]
     # once settled by two larger documents, a key adds nothing more
     assert sum(r["n"] for r in runs._read([p for x in runs.levels for p in x]).where("h1 = 7").collect()) == 2
 

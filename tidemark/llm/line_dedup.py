@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import MADE, drop_path, lower_ascii, read, shared_dir, written
 
 KEY = ["h1", "h2"]
+HOT_ROWS, HOT_KEYS = 5_000, 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -78,11 +79,27 @@ class LineRuns:
             level += 1
 
     def settled(self) -> DataFrame:
-        """h1, h2, top of the keys found in `min_docs` documents or more."""
+        """h1, h2, n, top of the keys found in `min_docs` documents or more; n counts no more documents than the runs took in."""
         held = [p for level in self.levels for p in level]
         if not held:
-            return self.spark.createDataFrame([], "h1 bigint, h2 bigint, top bigint")
-        return self._merged(self._read(held)).where(F.col("n") >= self.min_docs).drop("n")
+            return self.spark.createDataFrame([], "h1 bigint, h2 bigint, n bigint, top bigint")
+        return self._merged(self._read(held)).where(F.col("n") >= self.min_docs)
+
+
+def _outdone(table: DataFrame, settled: DataFrame) -> DataFrame:
+    """The rows (key, doc, at) whose key is settled in a document with a larger doc_id.
+
+    Keys of very many rows would meet in one task. They are few, as each makes up at least 1 / `HOT_KEYS` of the rows (or `HOT_ROWS` rows): at most
+    HOT_KEYS of them, three numbers each, are broadcast, and their rows stay where they are. All other keys are merge-joined.
+    """
+    held = table.count()
+    if held >= HOT_ROWS:
+        rows = table.groupBy(*KEY).agg(F.count("*").alias("rows")).where(F.col("rows") >= max(HOT_ROWS, held // HOT_KEYS))
+        hot = written(rows.join(settled, KEY).select(*KEY, F.col("top").alias("hot_top")), "line-hot", slim=True)
+        marked = table.join(F.broadcast(hot), KEY, "left")
+        cold = marked.where("hot_top is null").join(settled.hint("merge"), KEY).where("doc < top")
+        return marked.where("doc < hot_top").select(*KEY, "doc", "at").unionByName(cold.select(*KEY, "doc", "at"))
+    return table.join(settled.hint("merge"), KEY).where("doc < top").select(*KEY, "doc", "at")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, counts: str = "_lines") -> DataFrame:
@@ -103,7 +120,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         for i in reversed(range(batches)):
             start = low + i * width
             runs.add(table.where((F.col("doc") >= start) & (F.col("doc") < start + width)).select(*KEY, "doc"))
-    out = table.join(runs.settled().hint("merge"), KEY).where("doc < top")
+    out = _outdone(table, runs.settled())
     # positions to drop, as bits of one number for each 64 lines
     bits = out.select("doc", F.explode("at").alias("at")).groupBy("doc", "at.form", F.floor(F.col("at.pos") / 64).alias("block")).agg(F.bit_or(_bit(F.col("at.pos"))).alias("mask"))
     masks = bits.groupBy("doc", "form").agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("masks"))
