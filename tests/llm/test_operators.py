@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 import regex
 
@@ -210,35 +211,118 @@ def test_language_model_learns(spark, no_docs):
     assert rows(language_model.score_texts(no_docs)) == []
 
 
-def test_language_model_is_a_code():
-    """Over all next bytes in a context, the probabilities sum to one."""
-    m, table = language_model.Mixer(), None
+def trained_mixer(texts, passes=1):
     import numpy as np
 
-    keys = [bytes((1,)) + w for w in (b"the ", b"then ", b"a ", b"thin\0")]
-    table = np.zeros((len(language_model.ORDERS), 2, 1 << language_model.BITS))
-    language_model.count_bits(keys, np.array([50, 9, 30, 4]), table)
-    m.train(table.astype(np.float32), keys * 20)
-    both = m.bits([bytes((1,)) + b"th" + bytes((c,)) for c in range(256)])
-    start = m.bits([bytes((1,)) + b"th"])[0]
-    assert sum(10 ** (x - start) for x in both) == pytest.approx(1, abs=1e-4)
+    lm = language_model
+    table = np.zeros(2 * lm.STARTS[-1], np.uint32)
+    chunks = [lm.Decisions(c) for c in lm.chunks(enumerate(texts))]
+    for d in chunks:
+        lm.count(d, table)
+    m, table = lm.Mixer(), table.astype(np.float32)
+    for d in chunks * passes:
+        m.learn(d, table)
+    return m, table
 
 
-def test_language_model_counts_every_unit_in_all_orders(monkeypatch):
-    """A word seen once beside one seen 50 million times is in the long contexts, too."""
-    import numpy as np
-    import pyarrow as pa
-
-    keys, counts = [b"\x01common ", b"\x01uncommonly "], np.array([50_000_000, 1])
-    payload = language_model.pack(b"", language_model.planes(counts), np.array([len(k) for k in keys], np.uint32), b"".join(keys))
-    monkeypatch.setattr(language_model, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
-    pieces = list(language_model._gathered(1000)(iter([pa.record_batch([pa.array([payload], pa.binary())], names=["payload"])])))
-    parts = {b.column("order")[0].as_py(): np.frombuffer(language_model.unpack(b.column("payload")[0].as_py())[0], np.float32).reshape(2, -1) for b in pieces if b.column("order")[0].as_py() >= 0}
-    rare = np.zeros((len(language_model.ORDERS), 2, 1 << language_model.BITS))
-    language_model.count_bits(keys[1:], counts[1:], rare)
-    for o in range(len(language_model.ORDERS)):
-        found = np.concatenate([parts[o * language_model.SLICES + i] for i in range(language_model.SLICES)], axis=1)
-        assert (found[rare[o] > 0] >= 1).all()
+def mixer_costs(m, table, texts):
+    lm = language_model
+    return sum(m.cost(lm.Decisions(c), table, len(texts)) for c in lm.chunks(enumerate(texts)))
+
+
+def test_language_model_is_a_code():
+    """Over all next bytes in a context, the probabilities sum to one."""
+    m, table = trained_mixer([b"the then a thin the the then\0", b"the thin a\0"] * 20)
+    both = mixer_costs(m, table, [b"a thin th" + bytes((c,)) for c in range(256)])
+    assert sum(10 ** (x - mixer_costs(m, table, [b"a thin th"])[0]) for x in both) == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_against_brute_force():
+    """Contexts of real counts, the match, gates, mixing and maps, one decision after the other in plain Python."""
+    from collections import defaultdict
+
+    lm, rnd = language_model, random.Random(8)
+    vocab = [b"sun", b"moon", b"star", b"night", b"a", b"of", b"light"]
+    texts = [b" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 40))) + b"\0" for _ in range(60)]
+    m, table = trained_mixer(texts)
+    seen = defaultdict(lambda: [0, 0])
+
+    def steps(t):
+        for i, byte in enumerate(t):
+            for k in range(8):
+                node = (byte >> (8 - k)) | (1 << k)
+                yield i, 7 - k, node, byte >> (7 - k) & 1, [(o, t[max(0, i - back) : i], min(i, back) < back, node) for o, back in enumerate(lm.ORDERS)]
+
+    for t in texts:
+        for _, _, _, y, keys in steps(t):
+            for key in keys:
+                seen[key][y] += 1
+
+    def brute(t):
+        total = 0.0
+        for i, bit, node, y, keys in steps(t):
+            n = [seen[key] if key in seen else [0, 0] for key in keys]
+            st = [min(12, max(-12, math.log((c1 + 0.02) / (c0 + 0.02)))) for c0, c1 in n]
+            level, want = 0, None
+            if i >= 6:
+                j = next((j for j in range(i - 1, 5, -1) if t[j - 6 : j] == t[i - 6 : i]), None)
+                if j is not None:
+                    want, level = t[j], 2 if j >= 16 and t[j - 16 : j] == t[i - 16 : i] else 1
+            if level and ((want >> (bit + 1)) | (1 << (7 - bit))) != node:
+                level = 0
+            st.append((6 * (want >> bit & 1) - 3) if level else 0)
+            last = sum(n[-1])
+            gates = sum(c0 + c1 > 1 for c0, c1 in n) * 8 + bit, (min(15, 1 + int(math.log2(last))) if last else 0) * 8 + bit, level * 8 + bit
+            z = max(-11.99, min(11.99, sum(float(w[g, j]) * st[j] for w, g in zip(m.gates, gates) for j in range(lm.INPUTS)) / 3))
+            x = (z + 12) * (lm.MAPS - 1) / 24
+            refined = float(m.maps[node, int(x)]) * (1 - x % 1) + float(m.maps[node, int(x) + 1]) * (x % 1)
+            p = min(1 - 1e-7, max(1e-7, (1 / (1 + math.exp(-z)) + 3 * refined) / 4))
+            total += math.log10(p if y else 1 - p)
+        return total
+
+    some = [*texts[:8], b"star of light a star of light a star of light and\0", b"\0", b"qq\xc3\xa9 zz\0"]
+    # the hashed slots are so many here that the contexts hardly share any
+    assert mixer_costs(m, table, some).tolist() == pytest.approx([brute(t) for t in some], rel=0.02)
+
+
+def test_language_model_scores_texts_alone(monkeypatch):
+    """Scores do not depend on the texts beside, nor on how texts are put together in chunks; stretches join without loss of context."""
+    rnd = random.Random(3)
+    texts = [bytes(rnd.choice(b"abcd ") for _ in range(rnd.randrange(3000))) + b"\0" for _ in range(12)] + [b"\0"]
+    m, table = trained_mixer(texts)
+    alone = [mixer_costs(m, table, [t])[0] for t in texts]
+    assert mixer_costs(m, table, texts).tolist() == pytest.approx(alone)
+    whole = language_model.Decisions([(0, 0, texts[0])])
+    monkeypatch.setattr(language_model, "STRETCH", 100)
+    cut = [language_model.Decisions(c) for c in language_model.chunks([(0, texts[0])])]
+    assert (np.concatenate([d.slots for d in cut], axis=1) == whole.slots).all()
+
+
+def test_language_model_sees_order_and_repetition():
+    """Across words, and inside a text: shuffled words and unrepeated texts cost more."""
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    nexts = {w: rnd.sample(vocab, 2) for w in vocab}
+
+    def chain(n):
+        out = [rnd.choice(vocab)]
+        while len(out) < n:
+            out.append(rnd.choice(nexts[out[-1]]))
+        return out
+
+    m, table = trained_mixer([" ".join(chain(80)).encode() + b"\0" for _ in range(150)])
+    fresh = [chain(80) for _ in range(10)]
+    mixed = [rnd.sample(t, len(t)) for t in fresh]
+    real, shuffled = (mixer_costs(m, table, [" ".join(t).encode() + b"\0" for t in ts]).sum() for ts in (fresh, mixed))
+    assert real > 0.7 * shuffled
+
+    def line():
+        return bytes(rnd.choice(b"qwxyz") for _ in range(60)) + b"\n"
+
+    m, table = trained_mixer([line() * 3 + b"\0" for _ in range(150)])
+    new = line()  # in no training text
+    once, twice = (mixer_costs(m, table, [new * k + b"\0"])[0] for k in (1, 2))
+    assert twice > 1.4 * once
 
 
 # -- 4
