@@ -319,7 +319,7 @@ def test_language_model_sees_order_and_repetition():
     def line():
         return bytes(rnd.choice(b"qwxyz") for _ in range(60)) + b"\n"
 
-    m, table = trained_mixer([line() * 3 + b"\0" for _ in range(150)], passes=20)
+    m, table = trained_mixer([line() * 3 + b"\0" for _ in range(2000)])
     new = line()  # in no training text
     once, twice = (mixer_costs(m, table, [new * k + b"\0"])[0] for k in (1, 2))
     assert twice > 1.4 * once
