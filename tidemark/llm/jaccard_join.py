@@ -367,3 +367,24 @@ def keep_representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Frac
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_links(read(spark, sf_dir, "documents"), 4, Fraction(85, 100))[0].drop("sig")
+
+
+#: All pairs that share a shingle, counted and compared; components by reachability. For small tables: copies are paired with copies.
+ORACLE = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from worded),
+shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (
+  select l.doc_id as a, r.doc_id as b from shingles l join shingles r on l.g = r.g and l.doc_id != r.doc_id
+  group by l.doc_id, r.doc_id, l.n, r.n having 100 * count(*) >= 85 * (l.n + r.n - count(*))),
+reached as (select doc_id as a, doc_id as b from sets union select reached.a, links.b from reached join links on reached.b = links.a),
+parts as (select a, min(b) as component_id from reached group by a),
+counts as (select a, count(*) as n_links from links group by a)
+select sets.doc_id, cast(len(s) as bigint) as n_shingles, component_id, cast(coalesce(n_links, 0) as bigint) as n_links
+from sets join parts on sets.doc_id = parts.a left join counts on sets.doc_id = counts.a
+"""

@@ -131,3 +131,30 @@ def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
+
+
+def _oracle(templates: list[tuple] = TEMPLATES) -> str:
+    """SQL that tries every template at every word, without an index."""
+    rows = ",\n  ".join(f"({n}, '{label}', {base}, '{text}', '{key or text}', {_find(text.split(), (key or text).split())})" for n, (label, base, text, key) in enumerate(templates))
+    return rf"""
+WITH t(t, label, base, words, key, skip) AS (
+  SELECT t, label, base, string_split(words, ' '), string_split(key, ' '), skip FROM (VALUES
+  {rows}) AS v(t, label, base, words, key, skip)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+h AS (
+  SELECT d.r, t.label, t.base, i - skip AS start,
+    len(list_filter(range(1, len(words) + 1), lambda j: words[j] = w[i - skip + j])) / len(words) AS share
+  FROM p JOIN t ON p.word = t.key[1] JOIN d ON d.r = p.r
+  WHERE i >= skip AND w[i + 1:i + len(key)] = key)
+SELECT any_value(d.doc_id) AS doc_id, any_value(len(w)) AS n_words, count(label) FILTER (WHERE base) AS n_base,
+  min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0::DOUBLE) AS score
+FROM d LEFT JOIN h ON h.r = d.r GROUP BY d.r
+"""
+
+
+ORACLE = _oracle()

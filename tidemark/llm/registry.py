@@ -17,4 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op7_license_scan": licenses.ORACLE,
+    "op8_ngram_jaccard": jaccard_join.ORACLE,
 }
