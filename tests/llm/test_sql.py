@@ -1,5 +1,7 @@
 """Operators that SQL can express, against DuckDB: on the smallest driver tables, and on odd rows."""
 
+import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -41,3 +43,24 @@ def test_licences_of_odd_texts(spark):
     duck = duckdb.connect()
     documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841, read by name
     same(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")), duck.execute(licenses.ORACLE))
+
+
+def test_licences_of_many_templates(spark):
+    """Five hundred templates with shared words, some repeated words, all found at their places."""
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 5))) for _ in range(300)]
+    templates = []
+    for n in range(500):
+        words = [rnd.choice(vocab) for _ in range(rnd.randrange(3, 20))]
+        key = words[1 : 1 + rnd.randrange(2, 6)]
+        templates.append((f"l{n % 40}", n % 3 == 0, " ".join(words), " ".join(key) if n % 2 else ""))
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(30)) + " " + (rnd.choice(templates)[2] if i % 2 else rnd.choice(templates)[3]) + " " + rnd.choice(vocab)) for i in range(200)]
+    duck = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841, read by name
+    same(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates), duck.execute(licenses._oracle(templates)))
+
+
+def test_pattern_of_words():
+    words = ["a", "ab", "abc", "b", "c.d", "xyz"]
+    assert all(re.fullmatch(licenses.any_of(words), w) for w in words)
+    assert not any(re.fullmatch(licenses.any_of(words), w) for w in ("", "ac", "cxd", "xy", "bb"))

@@ -5,8 +5,10 @@ split into words, its anchors are looked up, and each posting votes for the plac
 anchors of a template agree on a start, the template's mandatory key phrase is verified word by word; the score is the share of
 the template's words that stand at their places.
 
-The base phrases are templates that are their own key phrase. Further templates are known sentences of licences; the index and
-the templates are fixed, so they are literals of the plan.
+The base phrases are templates that are their own key phrase. Further templates are known sentences of licences. The index is a
+hash table, an array literal of buckets, so that a word costs one look whatever the number of templates; the text goes to the index
+only if a pattern of the anchors, shared beginnings once, finds one in it. Index and templates travel with the plan: tables of more
+than `MOST_BYTES` are refused.
 
 Defined results: a null text has no words. `first_word` and `last_word` are null and the labels empty where nothing is found; the
 score is then 0. Rows that repeat are scanned alike and all kept; extra columns are dropped. An empty table gives an empty result.
@@ -14,10 +16,11 @@ score is then 0. Rows that repeat are scanned alike and all kept; extra columns
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections import Counter
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,8 @@ TEMPLATES = [
 ]
 ANCHORS = 2
 SHIFT = 1 << 40
+BUCKETS = 4096
+MOST_BYTES = 16_000_000
 
 
 def index(templates: list[tuple] = TEMPLATES, anchors: int = ANCHORS) -> dict[str, list[tuple[int, int]]]:
@@ -65,8 +70,31 @@ def _find(words: list[str], part: list[str]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(part)] == part)
 
 
-def _array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def any_of(words: list[str]) -> str:
+    """A pattern of the words in which shared beginnings are written once; the longest word is tried first."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        parts = [re.escape(c) + written(at[c]) for c in sorted(at) if c]
+        if not parts:
+            return ""
+        whole = parts[0] if len(parts) == 1 and "" not in at else f"(?:{'|'.join(parts)})"
+        return whole + "?" if "" in at else whole
+
+    return written(tree)
+
+
+def _literal(value: list, kind: str) -> Column:
+    """A constant that the optimizer folds once, whatever its size."""
+    raw = json.dumps(value)
+    if len(raw) > MOST_BYTES:
+        raise ValueError(f"{len(raw)} bytes of templates, more than {MOST_BYTES}")
+    return F.from_json(F.lit(raw), kind)
 
 
 def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
@@ -75,28 +103,35 @@ def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
     votes = Counter(n for p in postings.values() for n, _ in p)
     any_word = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
     # in `\b`, letters beyond ASCII are no word characters; so the neighbours are named
-    pattern = f"(?i)(?<!{any_word})(?:{'|'.join(sorted(map(re.escape, postings)))})(?!{any_word})"
+    pattern = f"(?i)(?<!{any_word}){any_of(sorted(postings))}(?!{any_word})"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", F.split(text, GAP, -1).alias("raw"), text.rlike(pattern).alias("hit"))
     n = F.size("raw")
     ends = F.when(n == 1, (F.get("raw", F.lit(0)) == "").cast("int")).otherwise((F.get("raw", F.lit(0)) == "").cast("int") + (F.get("raw", n - 1) == "").cast("int"))
     words = F.when(F.col("hit"), F.filter(F.transform("raw", lower_ascii), lambda w: w != ""))
     d = d.select("doc_id", (n - ends).cast("bigint").alias("n_words"), words.alias("words"))
-    table = F.create_map(*chain.from_iterable((F.lit(w), F.array(*[F.struct(F.lit(n).cast("bigint").alias("t"), F.lit(o).alias("o")) for n, o in p])) for w, p in postings.items()))
-    found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(_array(list(postings)), x["w"]))
+    buckets: list[list] = [[] for _ in range(BUCKETS)]
+    for w, p in postings.items():
+        buckets[zlib.crc32(w.encode()) % BUCKETS] += [{"w": w, "t": t, "o": o} for t, o in p]
+    table = _literal(buckets, "array<array<struct<w:string,t:bigint,o:int>>>")
+
+    def looked_up(w: Column) -> Column:
+        return F.get(table, (F.crc32(w.cast("binary")) % BUCKETS).cast("int"))
+
+    found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.exists(looked_up(x["w"]), lambda p: p["w"] == x["w"]))
     # template and start as one number: sorted, equal votes stand side by side
-    cast = F.transform(found, lambda x: F.transform(F.filter(F.try_element_at(table, x["w"]), lambda p: x["i"] >= p["o"]), lambda p: p["t"] * SHIFT + (x["i"] - p["o"])))
+    cast = F.transform(found, lambda x: F.transform(F.filter(looked_up(x["w"]), lambda p: (p["w"] == x["w"]) & (x["i"] >= p["o"])), lambda p: p["t"] * SHIFT + (x["i"] - p["o"])))
     d = d.select("doc_id", "n_words", "words", F.sort_array(F.flatten(cast)).alias("votes"))
-    wanted = F.create_map(*chain.from_iterable((F.lit(t).cast("bigint"), F.lit(v)) for t, v in votes.items()))
+    wanted = _literal([votes[n] for n in range(len(templates))], "array<int>")
 
     def template(x: Column) -> Column:
         return (x / SHIFT).cast("bigint")
 
-    first = F.filter("votes", lambda x, k: (F.coalesce(F.get("votes", k - 1), F.lit(-1)) != x) & (F.get("votes", k + F.element_at(wanted, template(x)) - 1) == x))
+    first = F.filter("votes", lambda x, k: (F.coalesce(F.get("votes", k - 1), F.lit(-1)) != x) & (F.get("votes", k + F.get(wanted, template(x).cast("int")) - 1) == x))
     d = d.withColumn("starts", first)
-    texts = F.array(*[_array(t[2].split()) for t in templates])
-    keys = F.array(*[_array((t[3] or t[2]).split()) for t in templates])
-    offsets = F.array(*[F.lit(_find(t[2].split(), (t[3] or t[2]).split())) for t in templates])
+    texts = _literal([t[2].split() for t in templates], "array<array<string>>")
+    keys = _literal([(t[3] or t[2]).split() for t in templates], "array<array<string>>")
+    offsets = _literal([_find(t[2].split(), (t[3] or t[2]).split()) for t in templates], "array<int>")
 
     def verified(x: Column) -> Column:
         t, start = template(x).cast("int"), (x % SHIFT).cast("int")
@@ -109,8 +144,8 @@ def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
         return F.struct(t.alias("t"), start.alias("start"), (F.size(same) / F.size(own)).alias("share"))
 
     d = d.select("doc_id", "n_words", F.coalesce(F.transform(F.filter("starts", verified), hit), F.array().cast("array<struct<t:int,start:int,share:double>>")).alias("hits"))
-    names = _array([t[0] for t in templates])
-    is_base = F.array(*[F.lit(t[1]) for t in templates])
+    names = _literal([t[0] for t in templates], "array<string>")
+    is_base = _literal([t[1] for t in templates], "array<boolean>")
     d = d.withColumn("base", F.filter("hits", lambda h: F.get(is_base, h["t"])))
 
     def labels(c: str) -> Column:
