@@ -73,7 +73,8 @@ def _features() -> Column:
 def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(target / raw) of each bucket, counted over all rows; the result has BUCKETS numbers whatever the corpus."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1))
-    tokens = docs.select(F.col("doc_id").cast("bigint").alias("id"), _text().alias("text")).join(good, "id", "left").select("good", _tokens(F.col("text")).alias("tokens"))
+    # a merge join at every size: labels grow with the corpus, and a broadcast of them below some size would change the plan's cost there
+    tokens = docs.select(F.col("doc_id").cast("bigint").alias("id"), _text().alias("text")).join(good.hint("merge"), "id", "left").select("good", _tokens(F.col("text")).alias("tokens"))
     counts = tokens.select("good", F.explode(_features()).alias("f")).groupBy("f").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
     raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
     for r in counts:
