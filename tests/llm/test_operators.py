@@ -604,7 +604,33 @@ def test_jaccard_every_link_is_counted(spark, odd_docs, no_docs):
         got, links = jaccard_join.join_links(docs, 4, Fraction(85, 100))
         assert Counter(rows(got.drop("sig"))) == Counter((*r, n_links[k]) for k, r in enumerate(linked(source, 4, Fraction(85, 100))))
         assert links.count() == len({frozenset((frozenset(sets[a]), frozenset(sets[b]))) for a, b in pairs if sets[a] != sets[b]})
+        for block in (jaccard_join.BLOCK_HASHES, 300):  # all of a component in one task, or a few texts
+            assert Counter(rows(jaccard_join.join_counts(docs, 4, Fraction(85, 100), block).drop("sig"))) == Counter(rows(got.drop("sig")))
     assert rows(jaccard_join.join_links(no_docs)[0]) == []
+    assert rows(jaccard_join.join_counts(no_docs)) == []
+
+
+@pytest.mark.parametrize("t", [Fraction(85, 100), Fraction(1, 2)])
+def test_jaccard_partners_are_all_links(t):
+    """Within one block and between two, against all pairs; prefixes by (frequency, hash) as the operator cuts them."""
+    rnd, num, den = random.Random(7), t.numerator, t.denominator
+    base_set = rnd.sample(range(10**6), 60)
+    sets = [np.array(sorted({*(h for h in base_set if rnd.random() < keep), *rnd.sample(range(10**6), rnd.randrange(1, 6))}), np.uint64) for keep in [1.0, 0.97, 0.9, 0.7] * 20]
+    frequency = Counter(int(h) for s in sets for h in s)
+    rows_of = []
+    for s in sets:
+        shared = sorted((frequency[int(h)], int(h)) for h in s if frequency[int(h)] > 1)
+        alone = len(s) - len(shared)
+        bins = np.bincount([h % 32 for _, h in shared], minlength=32).astype(np.int32)
+        rows_of.append((len(s), alone, np.array([h for _, h in shared][: max(1, len(s) - -(-num * len(s) // den) + 1 - alone)], np.int64), bins, np.array(sorted(h for _, h in shared), np.uint64)))
+    rows_of = [r for r in rows_of if len(r[4]) >= -(-num * r[0] // den)]
+    rows_of.sort(key=lambda r: r[0])
+    n, alone = (np.array([r[i] for r in rows_of], np.int64) for i in (0, 1))
+    for side in (np.zeros(len(n), np.int64), np.arange(len(n)) % 2):
+        got = {(x, int(y)) for x, ys in jaccard_join.partners(n, side, alone, [r[2] for r in rows_of], np.stack([r[3] for r in rows_of]), [r[4] for r in rows_of], num, den, bool(side.any())) for y in ys}
+        both = lambda a, b: len({*a[4].tolist()} & {*b[4].tolist()})
+        want = {(a, b) for a in range(len(n)) for b in range(a + 1, len(n)) if (side[a] != side[b] or not side.any()) and both(rows_of[a], rows_of[b]) * den >= num * (n[a] + n[b] - both(rows_of[a], rows_of[b]))}
+        assert got == want and len(want) > 200
 
 
 def test_jaccard_pairs_of_one_hash_are_those_in_reach(spark):

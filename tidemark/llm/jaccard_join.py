@@ -10,8 +10,12 @@
    After the links found are joined into components, the second round takes every pair of postings of a hash from different
    components. Pairs pass the length filter, the positional filter and the suffix filter (histograms of the shared hashes bound
    the overlap), are made distinct, and are verified on the whole sets. What is left unpaired lies in one component already, and
-   components are exact. Where links are asked for, the second round takes every pair of postings of a hash, within components too:
-   every link between different signatures is verified. Texts of one signature stay one, with their number of rows.
+   components are exact. Texts of one signature stay one, with their number of rows.
+5. Links lie inside components. join_counts() deals each component's texts into blocks of about BLOCK_HASHES hashes; a task takes a
+   pair of blocks, joins the prefixes there with the same filters, verifies each pair once on the whole sets and gives one count for
+   a text. So every link between different signatures counts, and no pair leaves a task: rows grow with the group, not its square
+   (a component of b blocks is read b times). join_links() gives the links as rows: its second round takes every pair of
+   postings of a hash, within components too.
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is its own component. A text with fewer
 than n words has one n-gram, its whole word sequence. Rows with one doc_id are one document each in the result, but name one
@@ -35,6 +39,8 @@ from .common import drop, read, small_batches, trimmed, written
 
 BATCH_HASHES = 1_000_000
 BINS = 32
+BLOCK_HASHES = 1_000_000
+SALTS = 64
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -226,6 +232,88 @@ def _verified(num: int, den: int) -> Callable:
     return run
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of all ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def partners(n: np.ndarray, side: np.ndarray, alone: np.ndarray, prefixes: list[np.ndarray], bins: np.ndarray, sets: list[np.ndarray], num: int, den: int, across: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Texts in order of size, each with the later ones it links with; across: with those of the other side."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(local.max(initial=-1) + 1, np.uint8)
+    # postings of the prefixes: by hash, in a hash by text
+    lengths = np.array([len(x) for x in prefixes], np.int64)
+    text = np.repeat(np.arange(len(n)), lengths)
+    at = _ranges(alone, lengths)
+    hashes = np.concatenate(prefixes)
+    by = np.argsort(hashes, kind="stable")
+    text_by, at_by = text[by], at[by]
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    ends = np.searchsorted(hashes[by], hashes, side="right")
+    first = np.cumsum(lengths) - lengths
+    for x in range(len(n)):
+        own = slice(first[x], first[x] + lengths[x])
+        later = ends[own] - place[own] - 1
+        found = _ranges(place[own] + 1, later)
+        y = text_by[found]
+        needed = num * (n[x] + n[y])
+        room = np.minimum(n[x] - np.repeat(at[own], later), n[y] - at_by[found])
+        ok = (n[x] * den >= n[y] * num) & (room * (num + den) >= needed)
+        if across:
+            ok &= side[y] != side[x]
+        y = np.flatnonzero(np.bincount(y[ok], minlength=1))
+        y = y[np.minimum(bins[x], bins[y]).sum(1) * (num + den) >= num * (n[x] + n[y])]
+        if len(y):
+            mine = local[starts[x] : starts[x] + sizes[x]]
+            mark[mine] = 1
+            hit = mark[local[_ranges(starts[y], sizes[y])]]
+            mark[mine] = 0
+            both = np.add.reduceat(hit, np.cumsum(sizes[y]) - sizes[y], dtype=np.int64)
+            y = y[den * both >= num * (n[x] + n[y] - both)]
+        yield x, y
+
+
+def _block_counts(num: int, den: int) -> Callable:
+    """Sorted rows of a pair of blocks after each other: for each text the number of rows that its links hold there."""
+
+    def count(rows: list[tuple], across: bool) -> tuple[np.ndarray, np.ndarray]:
+        rows.sort(key=lambda r: (r[2], r[1]))  # by size, then signature
+        side, sig, n, alone, held = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3, 4))
+        prefixes = [np.array(r[5], np.int64) for r in rows]
+        bins = np.frombuffer(b"".join(r[6] for r in rows), np.int32).reshape(-1, BINS)
+        others = np.zeros(len(rows), np.int64)
+        for x, y in partners(n, side, alone, prefixes, bins, [np.frombuffer(r[7], np.uint64) for r in rows], num, den, across):
+            others[x] += held[y].sum()
+            others[y] += held[x]
+        return sig, others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, out, size = None, [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(2)], names=["sig", "others"])
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("component", "low", "high", "side", "sig", "n", "alone", "held", "prefix", "bins", "shared")), strict=True):
+                if row[:3] != at and rows:
+                    out.append(count(rows, at[1] != at[2]))
+                    size, rows = size + len(rows), []
+                    if size > 20_000:
+                        yield batch()
+                        out, size = [], 0
+                at = row[:3]
+                rows.append(row[3:])
+        if rows:
+            out.append(count(rows, at[1] != at[2]))
+        if out:
+            yield batch()
+
+    return run
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b): alternating large-star and small-star steps until nothing changes."""
     edges = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "links", slim=True)
@@ -282,8 +370,8 @@ def _all_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(first & _reach("l", "r", num, den))
 
 
-def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, sig, n) of every row, (sig, component) of the signatures that have links, and links (a, b), if `whole` all of them."""
+def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, sig, n) of every row, (sig, component) of the signatures that have links, links (a, b), if `whole` all of them, and candidate rows."""
     spark, (num, den) = docs.sparkSession, (threshold.numerator, threshold.denominator)
     small_batches(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -323,7 +411,7 @@ def linked(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), wh
     rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     found = written(verify(rest), "jaccard-links", slim=True)
     every = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().union(found)
-    return texts, components(every).withColumnRenamed("node", "sig"), every
+    return texts, components(every).withColumnRenamed("node", "sig"), every, cand
 
 
 def _named(texts: DataFrame, parts: DataFrame) -> DataFrame:
@@ -336,7 +424,7 @@ def _named(texts: DataFrame, parts: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row."""
-    texts, parts, _ = linked(docs, n, threshold)
+    texts, parts, _, _ = linked(docs, n, threshold)
     return _rows(texts, parts)
 
 
@@ -350,13 +438,39 @@ def join_links(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
 
     Links (sig_a, sig_b) are all pairs of different signatures at the threshold or above; rows of one signature are linked, too.
     """
-    texts, parts, links = linked(docs, n, threshold, whole=True)
-    held = texts.where("n > 0").groupBy("sig").agg(F.count("*").alias("held"))
+    texts, parts, links, _ = linked(docs, n, threshold, whole=True)
+    held = _held(texts)
     both = links.union(links.select("b", "a")).toDF("sig", "other")
     others = both.join(held.toDF("other", "held"), "other").groupBy("sig").agg(F.sum("held").alias("others"))
+    return _with_counts(texts, parts, held, others), links.toDF("sig_a", "sig_b")
+
+
+def join_counts(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), block_hashes: int = BLOCK_HASHES) -> DataFrame:
+    """The rows that join_links() gives, counted block by block inside components, so that no pairs are made as rows."""
+    num, den = threshold.numerator, threshold.denominator
+    texts, parts, _, cand = linked(docs, n, threshold)
+    held, parts = _held(texts), written(parts, "jaccard-parts", slim=True)
+    salt = F.pmod(F.xxhash64("sig"), F.lit(SALTS))
+    members = cand.join(held, "sig").join(parts, "sig").withColumn("salt", salt)
+    sizes = cand.select("sig", F.length("shared").alias("bytes")).join(parts, "sig").groupBy("component").agg(F.ceil(F.sum("bytes") / (8 * block_hashes)).cast("int").alias("blocks"))
+    # only components of several blocks have a row, once for each salt, as one component may hold most texts
+    large = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    dealt = members.join(large, ["component", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.hash("sig"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("component", "low", "high", "side", "sig", "n", "alone", "held", "prefix", "bins", "shared").repartition(width, "component", "low", "high").sortWithinPartitions("component", "low", "high")
+    others = dealt.mapInArrow(trimmed(_block_counts(num, den)), "sig bigint, others bigint").groupBy("sig").agg(F.sum("others").alias("others"))
+    return _with_counts(texts, parts, held, others)
+
+
+def _held(texts: DataFrame) -> DataFrame:
+    return texts.where("n > 0").groupBy("sig").agg(F.count("*").alias("held"))
+
+
+def _with_counts(texts: DataFrame, parts: DataFrame, held: DataFrame, others: DataFrame) -> DataFrame:
     counts = held.join(others, "sig", "left").select(F.col("sig").alias("s"), (F.col("held") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     counted = texts.join(counts, (F.col("sig") == F.col("s")) & (F.col("n") > 0), "left").select("doc_id", "sig", "n", F.coalesce("links", F.lit(0)).alias("n_links"))
-    return _rows(written(counted, "jaccard-counts", slim=True), parts, "sig", "n_links"), links.toDF("sig_a", "sig_b")
+    return _rows(written(counted, "jaccard-counts", slim=True), parts, "sig", "n_links")
 
 
 def keep_representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -366,7 +480,7 @@ def keep_representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Frac
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_links(read(spark, sf_dir, "documents"), 4, Fraction(85, 100))[0].drop("sig")
+    return join_counts(read(spark, sf_dir, "documents"), 4, Fraction(85, 100)).drop("sig")
 
 
 #: All pairs that share a shingle, counted and compared; components by reachability. For small tables: copies are paired with copies.
