@@ -211,30 +211,65 @@ def test_language_model_learns(spark, no_docs):
     assert rows(language_model.score_texts(no_docs)) == []
 
 
-def trained_mixer(texts, passes=1):
-    import numpy as np
-
+def unit_hashes(texts):
     lm = language_model
-    table = np.zeros(2 * lm.STARTS[-1], np.uint32)
-    chunks = [lm.Decisions(c) for c in lm.chunks(enumerate(texts))]
-    for d in chunks:
-        lm.count(d, table)
-    m, table = lm.Mixer(), table.astype(np.float32)
-    for d in chunks * passes:
-        m.learn(d, table)
-    return m, table
+    return [lm.hashed(lm.units(t), lm.Hashes()) for t in texts]
 
 
-def mixer_costs(m, table, texts):
+def trained_mixer(texts, passes=1):
+    """A state, the counts of one pass, and the code."""
+    lm = language_model
+    found = unit_hashes(texts)
+    code = lm.Code(np.bincount(lm.bucket_of(np.concatenate(found)), minlength=lm.BUCKETS))
+    chunks = [lm.Decisions(c, code) for c in lm.chunks(enumerate(found))]
+    m = lm.Mixer()
+    for _ in range(passes):
+        table = np.zeros(2 * lm.STARTS[-1], np.uint32)
+        for d in chunks:
+            m.learn(d, table)
+    return m, table.astype(np.float32), code
+
+
+def hash_costs(m, table, code, found):
     lm = language_model
-    return sum(m.cost(lm.Decisions(c), table, len(texts)) for c in lm.chunks(enumerate(texts)))
+    return sum(m.cost(lm.Decisions(c, code), table, len(found)) for c in lm.chunks(enumerate(found)))
+
+
+def mixer_costs(m, table, code, texts):
+    return hash_costs(m, table, code, unit_hashes(texts))
+
+
+@pytest.mark.parametrize("text", [b"", b" ", b"a", b" a  b ", b"a\nb", b"\n\n a\t\tb \r\n", b"x \n \x0b\x0cy\xc3\xa9", b"\0 a"])
+def test_language_model_units_are_the_text(text):
+    found = language_model.units(text)
+    assert found[-1] == b" " and all(b" " not in u for u in found[:-1])
+    spaced = b" ".join(found[:-1])
+    for space in (b"\n", b"\t", b"\r", b"\x0b", b"\x0c"):
+        spaced = spaced.replace(b" " + space + b" ", space)
+    assert spaced == text and [u for u in found if u and not u.isspace()] == text.split()
 
 
 def test_language_model_is_a_code():
-    """Over all next bytes in a context, the probabilities sum to one."""
-    m, table = trained_mixer([b"the then a thin the the then\0", b"the thin a\0"] * 20)
-    both = mixer_costs(m, table, [b"a thin th" + bytes((c,)) for c in range(256)])
-    assert sum(10 ** (x - mixer_costs(m, table, [b"a thin th"])[0]) for x in both) == pytest.approx(1, abs=1e-4)
+    """Over all next buckets in a context the probabilities sum to one; over the units of a bucket, known and spelt, to one or less."""
+    lm = language_model
+    m, table, code = trained_mixer([b"the then a thin the the then", b"the thin a"] * 20)
+    context = unit_hashes([b"a thin the"])[0][:-1]
+    buckets = np.arange(lm.BUCKETS, dtype=np.uint64) << np.uint64(50)
+    both = hash_costs(m, table, code, [np.append(context, b) for b in buckets])
+    assert (10 ** (both - hash_costs(m, table, code, [context])[0])).sum() == pytest.approx(1, abs=1e-3)
+    assert (0.5**code.sizes).sum() == 1
+    short = [bytes((x, y)) for x in b"abc" for y in b"abc"]
+    pairs = np.bincount(lm.pairs_of([b"ab", b"a", b"", b"cab"]), minlength=257 * 257)
+    spelling = lm.spelt(short, pairs)
+    at, want = pairs.reshape(257, 257) + 0.01, []
+    for w in short:
+        steps = [256, *w, 256]
+        want.append(sum(math.log10(at[x, y] / at[x].sum()) for x, y in zip(steps, steps[1:], strict=False)))
+    assert spelling.tolist() == pytest.approx(want)
+    c = np.array([3, 0, 1, 0, 0, 0, 0, 0, 0.0])
+    inside = 10 ** lm.within(c, np.full(9, 4.0), spelling)
+    assert inside.tolist() == pytest.approx([(x + lm.SPELT * 10**s) / (4 + lm.SPELT) for x, s in zip(c, want, strict=True)]) and inside.sum() <= 1
+    assert np.isfinite(lm.within(np.zeros(1), np.zeros(1), np.array([-5000.0])))[0]
 
 
 def test_language_model_against_brute_force():
@@ -243,58 +278,64 @@ def test_language_model_against_brute_force():
 
     lm, rnd = language_model, random.Random(8)
     vocab = [b"sun", b"moon", b"star", b"night", b"a", b"of", b"light"]
-    texts = [b" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 40))) + b"\0" for _ in range(60)]
-    m, table = trained_mixer(texts)
+    texts = [b" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 40))) for _ in range(200)]
+    m, table, code = trained_mixer(texts)
     seen = defaultdict(lambda: [0, 0])
 
+    def path(h):
+        b = int(h) >> 50
+        at = slice(code.starts[b], code.starts[b] + code.sizes[b])
+        return list(zip(code.nodes[at].tolist(), code.bits[at].tolist(), strict=True))
+
     def steps(t):
-        for i, byte in enumerate(t):
-            for k in range(8):
-                node = (byte >> (8 - k)) | (1 << k)
-                yield i, 7 - k, node, byte >> (7 - k) & 1, [(o, t[max(0, i - back) : i], min(i, back) < back, node) for o, back in enumerate(lm.ORDERS)]
+        for i, h in enumerate(t):
+            for k, (node, y) in enumerate(path(h)):
+                yield i, k, node, y, [(o, tuple(t[max(0, i - o) : i]), node) for o in lm.ORDERS]
 
-    for t in texts:
+    found = [x.tolist() for x in unit_hashes(texts)]
+    for t in found:
         for _, _, _, y, keys in steps(t):
             for key in keys:
                 seen[key][y] += 1
 
     def brute(t):
         total = 0.0
-        for i, bit, node, y, keys in steps(t):
+        for i, k, node, y, keys in steps(t):
             n = [seen[key] if key in seen else [0, 0] for key in keys]
             st = [min(12, max(-12, math.log((c1 + 0.02) / (c0 + 0.02)))) for c0, c1 in n]
-            level, want = 0, None
-            if i >= 6:
-                j = next((j for j in range(i - 1, 5, -1) if t[j - 6 : j] == t[i - 6 : i]), None)
+            level, want = 0, []
+            if i >= 2:
+                j = next((j for j in range(i - 1, 1, -1) if t[j - 2 : j] == t[i - 2 : i]), None)
                 if j is not None:
-                    want, level = t[j], 2 if j >= 16 and t[j - 16 : j] == t[i - 16 : i] else 1
-            if level and ((want >> (bit + 1)) | (1 << (7 - bit))) != node:
+                    want, level = path(t[j]), 2 if j >= 4 and t[j - 4 : j] == t[i - 4 : i] else 1
+            if level and (k >= len(want) or want[k][0] != node):
                 level = 0
-            st.append((6 * (want >> bit & 1) - 3) if level else 0)
-            last = sum(n[-1])
+            st.append((6 * want[k][1] - 3) if level else 0)
+            last, bit, row = sum(n[-1]), min(k, 7), min(k, lm.Mixer.ROWS - 1)
             gates = sum(c0 + c1 > 1 for c0, c1 in n) * 8 + bit, (min(15, 1 + int(math.log2(last))) if last else 0) * 8 + bit, level * 8 + bit
-            z = max(-11.99, min(11.99, sum(float(w[g, j]) * st[j] for w, g in zip(m.gates, gates) for j in range(lm.INPUTS)) / 3))
+            z = max(-11.99, min(11.99, sum(float(w[g, j]) * st[j] for w, g in zip(m.gates, gates, strict=True) for j in range(lm.INPUTS)) / 3))
             x = (z + 12) * (lm.MAPS - 1) / 24
-            refined = float(m.maps[node, int(x)]) * (1 - x % 1) + float(m.maps[node, int(x) + 1]) * (x % 1)
+            refined = float(m.maps[row, int(x)]) * (1 - x % 1) + float(m.maps[row, int(x) + 1]) * (x % 1)
             p = min(1 - 1e-7, max(1e-7, (1 / (1 + math.exp(-z)) + 3 * refined) / 4))
             total += math.log10(p if y else 1 - p)
         return total
 
-    some = [*texts[:8], b"star of light a star of light a star of light and\0", b"\0", b"qq\xc3\xa9 zz\0"]
+    some = [*found[:8], *(x.tolist() for x in unit_hashes([b"star of light a star of light a star of light and", b"", b"qq\xc3\xa9 zz"]))]
     # the hashed slots are so many here that the contexts hardly share any
-    assert mixer_costs(m, table, some).tolist() == pytest.approx([brute(t) for t in some], rel=0.02)
+    assert hash_costs(m, table, code, [np.array(t, np.uint64) for t in some]).tolist() == pytest.approx([brute(t) for t in some], rel=0.02)
 
 
 def test_language_model_scores_texts_alone(monkeypatch):
     """Scores do not depend on the texts beside, nor on how texts are put together in chunks; stretches join without loss of context."""
     rnd = random.Random(3)
-    texts = [bytes(rnd.choice(b"abcd ") for _ in range(rnd.randrange(3000))) + b"\0" for _ in range(12)] + [b"\0"]
-    m, table = trained_mixer(texts)
-    alone = [mixer_costs(m, table, [t])[0] for t in texts]
-    assert mixer_costs(m, table, texts).tolist() == pytest.approx(alone)
-    whole = language_model.Decisions([(0, 0, texts[0])])
+    texts = [bytes(rnd.choice(b"abcd ") for _ in range(rnd.randrange(3000))) for _ in range(12)] + [b""]
+    m, table, code = trained_mixer(texts)
+    alone = [mixer_costs(m, table, code, [t])[0] for t in texts]
+    assert mixer_costs(m, table, code, texts).tolist() == pytest.approx(alone)
+    found = unit_hashes(texts)[0]
+    whole = language_model.Decisions([(0, 0, found)], code)
     monkeypatch.setattr(language_model, "STRETCH", 100)
-    cut = [language_model.Decisions(c) for c in language_model.chunks([(0, texts[0])])]
+    cut = [language_model.Decisions(c, code) for c in language_model.chunks([(0, found)])]
     assert (np.concatenate([d.slots for d in cut], axis=1) == whole.slots).all()
 
 
@@ -310,18 +351,18 @@ def test_language_model_sees_order_and_repetition():
             out.append(rnd.choice(nexts[out[-1]]))
         return out
 
-    m, table = trained_mixer([" ".join(chain(80)).encode() + b"\0" for _ in range(150)])
+    state = trained_mixer([" ".join(chain(80)).encode() for _ in range(150)])
     fresh = [chain(80) for _ in range(10)]
     mixed = [rnd.sample(t, len(t)) for t in fresh]
-    real, shuffled = (mixer_costs(m, table, [" ".join(t).encode() + b"\0" for t in ts]).sum() for ts in (fresh, mixed))
+    real, shuffled = (mixer_costs(*state, [" ".join(t).encode() for t in ts]).sum() for ts in (fresh, mixed))
     assert real > 0.7 * shuffled
 
     def line():
-        return bytes(rnd.choice(b"qwxyz") for _ in range(60)) + b"\n"
+        return " ".join(rnd.choice(vocab) for _ in range(20)) + "\n"
 
-    m, table = trained_mixer([line() * 3 + b"\0" for _ in range(2000)])
+    state = trained_mixer([(line() * 3).encode() for _ in range(2000)])
     new = line()  # in no training text
-    once, twice = (mixer_costs(m, table, [new * k + b"\0"])[0] for k in (1, 2))
+    once, twice = (mixer_costs(*state, [(new * k).encode()])[0] for k in (1, 2))
     assert twice > 1.4 * once
 
 
