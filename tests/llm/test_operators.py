@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,6 +12,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import regex
+import xxhash
 
 from tidemark.llm import bpe, decontaminate, html_text, jaccard_join, language_model, licenses, line_dedup, quality, toxicity, url_filter
 
@@ -216,11 +218,12 @@ def unit_hashes(texts):
     return [lm.hashed(lm.units(t), lm.Hashes()) for t in texts]
 
 
-def trained_mixer(texts, passes=1):
+def trained_mixer(texts, passes=1, leaves=language_model.LEAVES):
     """A state, the counts of one pass, and the code."""
     lm = language_model
     found = unit_hashes(texts)
-    code = lm.Code(np.bincount(lm.bucket_of(np.concatenate(found)), minlength=lm.BUCKETS))
+    c = Counter(u for t in texts for u in lm.units(t))
+    code = lm.Code([u for u, _ in c.most_common(leaves)], [*(n for _, n in c.most_common(leaves)), max(1, sum(c.values()) - sum(n for _, n in c.most_common(leaves)))])
     chunks = [lm.Decisions(c, code) for c in lm.chunks(enumerate(found))]
     m = lm.Mixer()
     for _ in range(passes):
@@ -250,26 +253,35 @@ def test_language_model_units_are_the_text(text):
 
 
 def test_language_model_is_a_code():
-    """Over all next buckets in a context the probabilities sum to one; over the units of a bucket, known and spelt, to one or less."""
+    """Over all next leaves in a context the probabilities sum to one; over the units outside the code, known and spelt, to one or less."""
     lm = language_model
-    m, table, code = trained_mixer([b"the then a thin the the then", b"the thin a"] * 20)
+    m, table, code = trained_mixer([b"the then a thin the the then", b"the thin a of"] * 20, leaves=4)
     context = unit_hashes([b"a thin the"])[0][:-1]
-    buckets = np.arange(lm.BUCKETS, dtype=np.uint64) << np.uint64(50)
-    both = hash_costs(m, table, code, [np.append(context, b) for b in buckets])
+    leaves = [xxhash.xxh3_64_intdigest(w) for w in [*code.words, b"any other"]]
+    both = hash_costs(m, table, code, [np.append(context, np.uint64(h)) for h in leaves])
     assert (10 ** (both - hash_costs(m, table, code, [context])[0])).sum() == pytest.approx(1, abs=1e-3)
-    assert (0.5**code.sizes).sum() == 1
-    short = [bytes((x, y)) for x in b"abc" for y in b"abc"]
-    pairs = np.bincount(lm.pairs_of([b"ab", b"a", b"", b"cab"]), minlength=257 * 257)
-    spelling = lm.spelt(short, pairs)
-    at, want = pairs.reshape(257, 257) + 0.01, []
-    for w in short:
-        steps = [256, *w, 256]
-        want.append(sum(math.log10(at[x, y] / at[x].sum()) for x, y in zip(steps, steps[1:], strict=False)))
-    assert spelling.tolist() == pytest.approx(want)
-    c = np.array([3, 0, 1, 0, 0, 0, 0, 0, 0.0])
-    inside = 10 ** lm.within(c, np.full(9, 4.0), spelling)
-    assert inside.tolist() == pytest.approx([(x + lm.SPELT * 10**s) / (4 + lm.SPELT) for x, s in zip(c, want, strict=True)]) and inside.sum() <= 1
-    assert np.isfinite(lm.within(np.zeros(1), np.zeros(1), np.array([-5000.0])))[0]
+    assert (0.5**code.sizes).sum() == 1 and len(code.sizes) == 5
+    words_of = [b"ab", b"a", b"", b"cab", b"abcab", b"bcab"]
+    counts, short = lm.letter_counts(words_of), [bytes(w) for k in range(5) for w in itertools.product(b"abc", repeat=k)]
+    spelling = lm.Speller(counts).spelt(short)
+
+    def spell(w):
+        total, steps = 0.0, [256, 256, 256, *w, 256]
+        for i in range(3, len(steps)):
+            p = 1 / 257
+            for back in (1, 2, 3):
+                now = tuple(steps[i - back : i])
+                follow = Counter(y[j] for x in words_of for y in [[256, 256, 256, *x, 256]] for j in range(3, len(y)) if tuple(y[j - back : j]) == now)
+                p = (follow[steps[i]] + lm.PRIOR * p) / (sum(follow.values()) + lm.PRIOR)
+            total += math.log10(p)
+        return total
+
+    want = [spell(w) for w in short]
+    assert spelling.tolist() == pytest.approx(want) and (10**spelling).sum() < 1
+    c = np.array([3.0, 0, 1, *[0] * (len(short) - 3)])
+    inside = 10 ** lm.within(c, 4.0, 2.0, spelling)
+    assert inside.tolist() == pytest.approx([(x + 2 * 10**s) / 6 for x, s in zip(c, want, strict=True)]) and inside.sum() <= 1
+    assert np.isfinite(lm.within(np.zeros(1), 0.0, 1.0, np.array([-5000.0])))[0]
 
 
 def test_language_model_against_brute_force():
@@ -283,7 +295,7 @@ def test_language_model_against_brute_force():
     seen = defaultdict(lambda: [0, 0])
 
     def path(h):
-        b = int(h) >> 50
+        b = int(code.leaf(np.array([h], np.uint64))[0])
         at = slice(code.starts[b], code.starts[b] + code.sizes[b])
         return list(zip(code.nodes[at].tolist(), code.bits[at].tolist(), strict=True))
 
@@ -304,10 +316,10 @@ def test_language_model_against_brute_force():
             n = [seen[key] if key in seen else [0, 0] for key in keys]
             st = [min(12, max(-12, math.log((c1 + 0.02) / (c0 + 0.02)))) for c0, c1 in n]
             level, want = 0, []
-            if i >= 2:
-                j = next((j for j in range(i - 1, 1, -1) if t[j - 2 : j] == t[i - 2 : i]), None)
+            if i >= 1:
+                j = next((j for j in range(i - 1, 0, -1) if t[j - 1] == t[i - 1]), None)
                 if j is not None:
-                    want, level = path(t[j]), 2 if j >= 4 and t[j - 4 : j] == t[i - 4 : i] else 1
+                    want, level = path(t[j]), 2 if j >= 3 and t[j - 3 : j] == t[i - 3 : i] else 1
             if level and (k >= len(want) or want[k][0] != node):
                 level = 0
             st.append((6 * want[k][1] - 3) if level else 0)
