@@ -291,7 +291,7 @@ def test_language_model_against_brute_force():
     lm, rnd = language_model, random.Random(8)
     vocab = [b"sun", b"moon", b"star", b"night", b"a", b"of", b"light"]
     texts = [b" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 40))) for _ in range(200)]
-    m, table, code = trained_mixer(texts)
+    m, table, code = trained_mixer(texts, leaves=6)
     seen = defaultdict(lambda: [0, 0])
 
     def path(h):
@@ -302,8 +302,10 @@ def test_language_model_against_brute_force():
     def steps(t):
         for i, h in enumerate(t):
             for k, (node, y) in enumerate(path(h)):
-                yield i, k, node, y, [(o, tuple(t[max(0, i - o) : i]), node) for o in lm.ORDERS]
+                near = next(((back, path(t[i - back])) for back in (1, 2, 3) if i >= back and path(t[i - back]) != others), None)
+                yield i, k, node, y, [(0, node), (1, str(near), node), (3, tuple(t[max(0, i - 3) : i]), node)]
 
+    others = path(xxhash.xxh3_64_intdigest(b"any other"))
     found = [x.tolist() for x in unit_hashes(texts)]
     for t in found:
         for _, _, _, y, keys in steps(t):
