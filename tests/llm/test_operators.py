@@ -8,8 +8,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -380,6 +382,73 @@ def test_language_model_sees_order_and_repetition():
     assert twice > 1.4 * once
 
 
+def lm_blocks(monkeypatch, parts):
+    """Blocks of texts, one for each part, as the passes over them read them."""
+    lm, out = language_model, []
+    for k, part in enumerate(parts):
+        monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda k=k: SimpleNamespace(partitionId=lambda: k)))
+        ids = [i for i, _ in part]
+        out += lm._blocks(iter([pa.record_batch([pa.array(ids), pa.array([held(i) for i in ids]), pa.array([t for _, t in part])], names=["doc_id", "held_out", "text"])]))
+    return out
+
+
+def dealt(batches):
+    """The rows of each dest as one task gets them."""
+    found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["dest"])
+    return [pa.Table.from_pylist(list(g)).to_batches() for _, g in itertools.groupby(found, key=lambda r: r["dest"])]
+
+
+def test_language_model_code_of_the_most_frequent_units_of_all(monkeypatch):
+    """A unit that 17,000 units of each block outnumber is in the code when it is more frequent over all blocks."""
+    lm = language_model
+    free = [i for i in range(100) if not held(i)]
+    parts = [[(free[k], " ".join([*(f"{chr(97 + k)}{i}" for i in range(17_000) for _ in range(2)), "common"]))] for k in range(3)]
+    tasks = dealt(lm._unit_rows(4)(iter(lm_blocks(monkeypatch, parts))))
+    assert len(tasks) == 4
+    known = [r for task in tasks for b in lm._known(iter(task)) for r in b.to_pylist()]
+    c = Counter(w.encode() for p in parts for _, t in p for w in t.split()) + Counter({lm.END: 3})
+    want = sorted(c.items(), key=lambda x: (-x[1], x[0]))[: lm.LEAVES]
+    assert lm._top([r["payload"] for r in known if r["kind"] == 3]) == want and (b"common", 3) in want
+
+
+def test_language_model_contexts_share_nothing(monkeypatch):
+    """Counts after the last three units are exact over all blocks, and each context of a frequent unit has slots of its own."""
+    lm, rnd = language_model, random.Random(12)
+    monkeypatch.setattr(lm, "EVENTS", 300)
+    vocab = [f"w{i}" for i in range(9)]
+    texts = [(i, " ".join(rnd.choice(vocab[: rnd.choice([2, 9])]) for _ in range(rnd.randrange(40)))) for i in range(150)]
+    blocks = lm_blocks(monkeypatch, [texts[:70], texts[70:]])
+    code = lm.Code([*(w.encode() for w in vocab[:5]), lm.END], [50, 40, 30, 20, 10, 5, 60])
+
+    def path(u):
+        b = int(code.leaf(np.array([xxhash.xxh3_64_intdigest(u)], np.uint64))[0])
+        return [(int(code.nodes[code.starts[b] + k]), int(code.bits[code.starts[b] + k])) for k in range(code.sizes[b])]
+
+    seen = Counter()
+    for i, t in texts:
+        of = lm.units(t.encode())
+        for k, u in enumerate(of):
+            if not held(i):
+                seen.update((tuple(of[max(0, k - 3) : k]), node, y) for node, y in path(u))
+    answers = [r for task in dealt(lm._event_rows(3, code)(iter(blocks))) for b in lm._follow(code)(iter(task)) for r in b.to_pylist()]
+    for b, part in zip(blocks, (texts[:70], texts[70:]), strict=True):
+        row = b.to_pylist()[0]
+        parts = [r["payload"] for r in sorted(answers, key=lambda r: r["dest"]) if r["block"] == row["block"]]
+        words = lm.pack(lm.planes(np.zeros(0, np.int64)), lm.planes(np.zeros(0, np.int64)), lm.planes(np.zeros(0, np.int64)))
+        joined = [np.array([len(x), *map(len, x)], np.int64).tobytes() + b"".join(x) for x in ([words], parts)]
+        block = lm.Joined(row["payload"], *joined)
+        exact = block.followers(code)
+        d = lm.Decisions([(k, 0, block.numbers[a : a + n]) for k, (a, n) in enumerate(zip(exact.starts, block.sizes, strict=True))], code, exact)
+        want = [(seen[c, node, y], seen[c, node, 1 - y]) for _, t in part for of in [lm.units(t.encode())] for k, u in enumerate(of) for c in [tuple(of[max(0, k - 3) : k])] for node, y in path(u)]
+        assert list(zip(*(x.tolist() for x in d.seen), strict=True)) == want
+    many = [str(i).encode() for i in range(lm.LEAVES)]
+    code = lm.Code(many, [*range(1, lm.LEAVES + 1), 1])
+    order = [rnd.choice(many) for _ in range(200_000)]
+    d = lm.Decisions([(0, 0, lm.hashed(order, lm.Hashes()))], code)
+    keys = {(before, node) for before, u in zip([None, *order], order, strict=False) for node, _ in path(u)}
+    assert len(np.unique(d.slots[1])) == len(keys)
+
+
 # -- 4
 def test_decontamination(spark, odd_docs, no_docs):
     rnd = random.Random(2)
