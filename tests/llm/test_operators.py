@@ -439,8 +439,9 @@ def test_language_model_contexts_share_nothing(monkeypatch):
         block = lm.Joined(row["payload"], *joined)
         exact = block.followers(code)
         d = lm.Decisions([(k, 0, block.numbers[a : a + n]) for k, (a, n) in enumerate(zip(exact.starts, block.sizes, strict=True))], code, exact)
-        want = [(seen[c, node, y], seen[c, node, 1 - y]) for _, t in part for of in [lm.units(t.encode())] for k, u in enumerate(of) for c in [tuple(of[max(0, k - 3) : k])] for node, y in path(u)]
-        assert list(zip(*(x.tolist() for x in d.seen), strict=True)) == want
+        want = [(seen[c, node, 1], seen[c, node, 0]) for _, t in part for of in [lm.units(t.encode())] for k, u in enumerate(of) for c in [tuple(of[max(0, k - 3) : k])] for node, y in path(u)]
+        assert d.seen[0].tolist() == pytest.approx([math.log((c1 + 0.02) / (c0 + 0.02)) for c1, c0 in want], abs=1e-5)
+        assert d.seen[1].tolist() == [(c1 + c0).bit_length() for c1, c0 in want]
     many = [str(i).encode() for i in range(lm.LEAVES)]
     code = lm.Code(many, [*range(1, lm.LEAVES + 1), 1])
     order = [rnd.choice(many) for _ in range(200_000)]
