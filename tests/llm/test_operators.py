@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -450,6 +451,64 @@ def test_language_model_contexts_share_nothing(monkeypatch):
     assert len(np.unique(d.slots[1])) == len(keys)
 
 
+def test_language_model_numbers_units_without_a_lookup_each(monkeypatch):
+    """Blocks hold units() of each text, cut where they are full, for less time than one lookup a unit takes."""
+    lm, rnd = language_model, random.Random(14)
+    odd = ["", None, " ", "  ", " a", "a ", "a\n\nb\tc\r\nd", "\n", "x\x0b\x0cy \u00e9\u6f22  z", "\x00 \x00a", "\x1c", *("".join(rnd.choice("ab \n\t") for _ in range(rnd.randrange(30))) for _ in range(300))]
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 500)
+    for data in ([(i, t) for i, t in enumerate(odd)], [(5, None), (None, "")]):
+        found, sizes = [], []
+        for r in [r for b in lm_blocks(monkeypatch, [data]) for r in b.to_pylist()]:
+            block, at = lm.Block(r["payload"]), 0
+            assert sorted(set(block.numbers.tolist())) == list(range(len(block.words)))
+            for i, known, flag, n in zip(block.ids.tolist(), block.known.tolist(), block.flags.tolist(), block.sizes.tolist(), strict=True):
+                found.append((i if known else None, bool(flag), [block.words[k] for k in block.numbers[at : at + n]]))
+                at += n
+            sizes.append([sum(len((t or "").encode()) + 1 for _, t in data[len(found) - len(block.sizes) : len(found) - less]) for less in (0, 1)])
+        assert found == [(i, held(i), lm.units((t or "").encode())) for i, t in data]
+        assert all(x >= 500 for x, _ in sizes[:-1]) and all(x < 500 for _, x in sizes)
+    texts = [" ".join(f"w{rnd.randrange(20_000)}" for _ in range(300)) for _ in range(500)]
+
+    def plain():
+        numbers = {}
+        return [[numbers.setdefault(u, len(numbers)) for u in lm.units(t.encode())] for t in texts]
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    array = pa.array(texts)
+    assert min(seconds(lambda: lm.numbered(array)) for _ in range(5)) < min(seconds(plain) for _ in range(5))
+
+
+def test_language_model_decisions_of_numbers_and_of_hashes(monkeypatch):
+    """With exact counts the match looks at units' numbers, and scores do not depend on how many units are worked on at once."""
+    lm, rnd = language_model, random.Random(15)
+    monkeypatch.setattr(lm, "PIECE_UNITS", 7)
+    vocab = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rnd.choice(vocab[: rnd.choice([3, 30])]) for _ in range(rnd.randrange(80)))) for i in range(60)]
+    (batch,) = lm_blocks(monkeypatch, [texts])
+    code = lm.Code([*(w.encode() for w in vocab[:12]), lm.END], [*range(5, 17), 8, 60])
+    answers = [r["payload"] for task in dealt(lm._event_rows(3, code)(iter([batch]))) for b in lm._follow(code)(iter(task)) for r in b.to_pylist()]
+    words = lm.pack(*(lm.planes(np.zeros(0, np.int64)) for _ in range(3)))
+    block = lm.Joined(batch.to_pylist()[0]["payload"], *(np.array([len(x), *map(len, x)], np.int64).tobytes() + b"".join(x) for x in ([words], answers)))
+    exact = block.followers(code)
+    monkeypatch.setattr(lm, "STRETCH", 50)
+    of = [(k, block.numbers[a : a + n]) for k, (a, n) in enumerate(zip(exact.starts.tolist(), block.sizes.tolist(), strict=True))]
+    hashes = unit_hashes([t.encode() for _, t in texts])
+    costs, table = [], lm.Stretched(np.random.default_rng(1).integers(0, 9, 2 * lm.STARTS[2]).astype(np.float32))
+    for units in (40, 10_000):
+        both = zip(lm.chunks(iter(of), units), lm.chunks(enumerate(hashes), units), strict=True)
+        pairs = [(lm.Decisions(a, code, exact), lm.Decisions(b, code)) for a, b in both]
+        for a, b in pairs:
+            assert a.again.tolist() == b.again.tolist() and a.expects.tolist() == b.expects.tolist()
+            assert (a.slots == b.slots[:2]).all() and (a.gate % 24 == b.gate % 24).all()
+        assert sum(len(a.again) for a, _ in pairs) > 500
+        costs.append(sum(lm.Mixer().cost(a, table, len(texts)) for a, _ in pairs))
+    assert costs[0].tolist() == pytest.approx(costs[1].tolist())
+
+
 # -- 4
 def test_decontamination(spark, odd_docs, no_docs):
     rnd = random.Random(2)
