@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import time
@@ -482,6 +483,22 @@ def test_language_model_numbers_units_without_a_lookup_each(monkeypatch):
     assert min(seconds(lambda: lm.numbered(array)) for _ in range(5)) < min(seconds(plain) for _ in range(5))
 
 
+def test_language_model_tables_arrive_in_parts(spark, monkeypatch):
+    """A table that is sent is what it was, with a part of it unpacked at once; batches are limited while passes run, and not after."""
+    lm, rng = language_model, np.random.default_rng(2)
+    table = (rng.integers(0, 5, 2 * 12_345) * rng.integers(0, 900, 2 * 12_345)).astype(np.float32)
+    whole, sizes, made = lm.Stretched(table), [], lm.Stretched.__init__
+    monkeypatch.setattr(lm.Stretched, "__init__", lambda self, part: (sizes.append(len(part)), made(self, part))[1])
+    assert (pickle.loads(pickle.dumps(lm.Counts(table, lm.Stretched.joined))).table.stretched == whole.stretched).all()
+    assert max(sizes) <= 2 * (12_345 // lm.SLICES + 1)
+    assert (pickle.loads(pickle.dumps(lm.Counts(table[:-1]))).table == table[:-1]).all()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with lm._freed(spark):
+        assert int(spark.conf.get(key)) == lm.BATCH_BYTES
+    assert spark.conf.get(key) == before
+
+
 def test_language_model_decisions_of_numbers_and_of_hashes(monkeypatch):
     """With exact counts the match looks at units' numbers, and scores do not depend on how many units are worked on at once."""
     lm, rnd = language_model, random.Random(15)
