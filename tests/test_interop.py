@@ -1,8 +1,13 @@
+import time
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tidemark.plans.catalogue import QUERIES
 from tidemark.sources import binary, points, text
 from tidemark.sources.series import series_id
 from tidemark.streaming.metrics import Metrics, observed
@@ -76,3 +81,73 @@ def test_metrics(spark):
     df, seen = observed(spark.createDataFrame([(1, "m", {}, 5, 2.0, 0)], points.POINTS))
     df.collect()
     assert seen.get == {"n": 1, "first": 5, "last": 5, "mean": 2.0}
+
+
+def sent_to_driver(spark, run):
+    """What run() gives, and the bytes of task results that came to the driver meanwhile."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).resultSize() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(size for stage, size in stages().items() if stage not in before)
+
+
+@pytest.fixture(scope="module")
+def many_points(spark, tmp_path_factory):
+    """A folder with an events table of 60,000 points of two series over two days."""
+    root = tmp_path_factory.mktemp("points")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 2 * 86400 + F.col("id") * 7919 % 86400).cast("timestamp_ntz")
+    kind = F.when(F.col("id") % 3 == 0, "click").otherwise("view")
+    spark.range(60_000).select(F.col("id").alias("event_id"), at.alias("ts"), F.col("id").alias("user_id"), kind.alias("event_type"), F.rand(7).alias("value"), F.lit("{}").alias("props")).write.parquet(f"{root}/events.parquet")
+    return str(root)
+
+
+def held(frame):
+    return Counter(map(tuple, frame.select("series_id", "time", F.round("value", 6)).collect()))
+
+
+def held_points(spark, many_points):
+    return held(points.events(spark, many_points).scan())
+
+
+def test_log_replay_sends_no_content_to_the_driver(spark, many_points, tmp_path):
+    _, sent = sent_to_driver(spark, lambda: QUERIES["log_replay"](spark, many_points).write.parquet(str(tmp_path / "out")))
+    assert held(spark.read.parquet(str(tmp_path / "out"))) == held_points(spark, many_points)
+    assert sent < 300_000  # of 1,980,000 bytes of logs
+
+
+def test_logs_of_bounded_size(spark, many_points, tmp_path):
+    path = str(tmp_path / "logs")
+    binary.write_logs(points.events(spark, many_points).scan(), path, records=7000)
+    files = {f.name: binary.decode_log(f.read_bytes()) for f in sorted((tmp_path / "logs").glob("*.wal"))}
+    assert sorted(map(len, files.values())) == [2000] * 2 + [7000] * 8
+    assert [f.name for f in (tmp_path / "logs").iterdir() if not f.name.endswith(".wal")] == []
+    times = [t for rows in files.values() for _, t, _ in rows]
+    assert times == sorted(times)
+    assert held(binary.read_logs(spark, path)) == held_points(spark, many_points)
+    with pytest.raises(FileExistsError):
+        binary.write_logs(points.events(spark, many_points).scan(), path)
+
+
+def test_logs_in_a_store_that_tasks_cannot_write_to(spark, many_points, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "_known", lambda uri: False)
+    path = str(tmp_path / "lo gs")
+    binary.write_logs(points.events(spark, many_points).scan(), path, records=7000)
+    assert len(list((tmp_path / "lo gs").glob("*.wal"))) == 10
+    assert held(binary.read_logs(spark, path)) == held_points(spark, many_points)
+
+
+def test_no_points_make_an_empty_folder(spark, tmp_path):
+    binary.write_logs(spark.createDataFrame([], points.POINTS), str(tmp_path / "no logs"))
+    assert binary.read_logs(spark, str(tmp_path / "no logs")).count() == 0
+
+
+def test_long_logs_are_encoded_in_linear_time():
+    began = time.process_time()
+    assert len(binary.encode_log((7, i, 1.0) for i in range(300_000))) == 300_000 * 33
+    assert time.process_time() - began < 20  # 300,000 copies of 5 MB take minutes
