@@ -121,6 +121,21 @@ def test_log_replay_sends_no_content_to_the_driver(spark, many_points, tmp_path)
     assert sent < 300_000  # of 1,980,000 bytes of logs
 
 
+def test_segment_round_trip_sends_no_content_to_the_driver(spark, many_points, tmp_path):
+    _, sent = sent_to_driver(spark, lambda: QUERIES["segment_round_trip"](spark, many_points).write.parquet(str(tmp_path / "out")))
+    assert held(spark.read.parquet(str(tmp_path / "out"))) == held_points(spark, many_points)
+    assert sent < 300_000  # of some 600,000 bytes of segments
+
+
+def test_a_segment_file_for_each_series_and_hour(spark, many_points, tmp_path):
+    source = points.events(spark, many_points).scan()
+    binary.write_segments(source, str(tmp_path / "segments"))
+    files = {f.name: binary.decode_segment(f.read_bytes()) for f in (tmp_path / "segments").glob("*.seg")}
+    wanted = {(r[0], r[1]): r[2] for r in source.groupBy("series_id", F.expr("time - pmod(time, 3600)")).count().collect()}
+    assert {(int(name[:16], 16), int(name[17:-4])): len(times) for name, (_, times, _) in files.items()} == {(s & (1 << 64) - 1, hour): n for (s, hour), n in wanted.items()}
+    assert all(int(name[:16], 16) == series and (np.diff(times) >= 0).all() for name, (series, times, _) in files.items())
+
+
 def test_logs_of_bounded_size(spark, many_points, tmp_path):
     path = str(tmp_path / "logs")
     binary.write_logs(points.events(spark, many_points).scan(), path, records=7000)
